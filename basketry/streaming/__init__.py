@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analyses are all batch queries over stored tables; there is no
+streaming operator (no watermark, window or state) to provide. The
+row-level cleaning transforms in ``basketry.plans.clean`` are stateless,
+so they apply unchanged to a streaming DataFrame (see
+``tests/test_sources.py::test_cleaning_on_stream``).
+"""
