@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,19 +17,34 @@ from basketry.sources.tables import read_tables
 FIXTURE_AS_OF = "2001-12-31"
 
 
+Source = DataFrame | Callable[[], DataFrame]
+
+
 class Tables:
     """Raw tables (``customers products campaigns events transactions``)
-    and their cleaned views. Nothing is computed until a query runs."""
-
-    def __init__(self, customers: DataFrame, products: DataFrame, campaigns: DataFrame,
-                 events: DataFrame, transactions: DataFrame, as_of: str = L.RFM_AS_OF):
-        self.customers = customers
-        self.products = products
-        self.campaigns = campaigns
-        self.events = events
-        self.transactions = transactions
+    and their cleaned views. Each raw table is a DataFrame or a zero-argument
+    loader; loaders run on first use, so a query opens only the tables it
+    reads. Nothing is computed until a query runs."""
+
+    def __init__(self, customers: Source, products: Source, campaigns: Source,
+                 events: Source, transactions: Source, as_of: str = L.RFM_AS_OF):
+        self._sources = {"customers": customers, "products": products,
+                         "campaigns": campaigns, "events": events,
+                         "transactions": transactions}
         self.as_of = as_of
 
+    def _raw(self, name: str) -> DataFrame:
+        src = self._sources[name]
+        if not isinstance(src, DataFrame):
+            src = self._sources[name] = src()
+        return src
+
+    customers = property(lambda self: self._raw("customers"))
+    products = property(lambda self: self._raw("products"))
+    campaigns = property(lambda self: self._raw("campaigns"))
+    events = property(lambda self: self._raw("events"))
+    transactions = property(lambda self: self._raw("transactions"))
+
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str) -> Tables:
         return cls(**fixtures.load(spark, sf_dir), as_of=FIXTURE_AS_OF)
