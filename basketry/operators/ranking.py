@@ -113,3 +113,47 @@ def percentiles_exact(df: DataFrame, value: str, ps: Mapping[str, float],
     ranked = global_rank(df.select(F.col(value).cast("double").alias("_v"), *tie),
                          [F.col("_v").asc_nulls_last()], tie, count_non_null="_v")
     return ranked.agg(*percentile_aggs("_v", ps))
+
+
+def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: str, out: str,
+                       max_distinct: int = 200_000) -> DataFrame:
+    """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY key [DESC], tie), exact,
+    for keys with few distinct values (day counts, purchase counts).
+
+    The key histogram (one row per distinct value, partial-aggregated) gives
+    every value group its global start rank. When the histogram holds at
+    most ``max_distinct`` rows (checked at run time), it is broadcast. A group
+    whose first and last rank fall in the same tile is labelled map-side,
+    without moving its rows. Only the groups that straddle a tile boundary
+    (at most ``k - 1``) are ranked by ``tie`` with ``global_rank``, which splits
+    even a group holding most rows across partitions. A larger histogram
+    falls back to ``ntile_exact`` over the whole frame.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
+    hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    if hist.count() > max_distinct:
+        return ntile_exact(df, k, [order], [tie], out)
+
+    hist_order = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_first()
+    before = Window.orderBy(hist_order).rowsBetween(Window.unboundedPreceding, -1)
+    everything = Window.partitionBy()
+    h = hist.withColumnRenamed(key, "_key").select(
+        "_key", "_w",
+        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_start"),
+        F.sum("_w").over(everything).alias("_n"))
+    h = (h.withColumn("_t_first", ntile_of("_start", "_n", k))
+          .withColumn("_t_last", ntile_of(F.col("_start") + F.col("_w") - 1, "_n", k)))
+    straddles = F.col("_t_first") != F.col("_t_last")
+    h = h.withColumn("_sub_start", F.coalesce(
+        F.sum(F.when(straddles, F.col("_w")).otherwise(F.lit(0))).over(before), F.lit(0)))
+
+    # bounded by the max_distinct check above
+    joined = df.join(F.broadcast(h), df[key].eqNullSafe(h["_key"]))
+    helpers = ["_key", "_w", "_start", "_n", "_t_first", "_t_last", "_sub_start"]
+    uniform = joined.filter(~straddles).withColumn(out, F.col("_t_first"))
+    mixed = global_rank(joined.filter(straddles), [order], [tie])
+    mixed = mixed.withColumn(
+        out, ntile_of(F.col("_start") + F.col(RANK) - F.col("_sub_start"), "_n", k))
+    return (uniform.drop(*helpers)
+            .unionByName(mixed.drop(*helpers, RANK, TOTAL)))

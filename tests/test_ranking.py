@@ -97,3 +97,27 @@ def test_percentile_empty_input_gives_null_row(spark):
     df = spark.createDataFrame([], "id long, v double")
     got = percentiles_exact(df, "v", {"p50": 0.5}, ["id"]).collect()
     assert len(got) == 1 and got[0].p50 is None
+
+
+def _small_domain(df, k, desc, max_distinct=200_000):
+    from basketry.operators.ranking import ntile_small_domain
+    out = ntile_small_domain(df.repartition(4), k, "k", desc, "id", "t", max_distinct=max_distinct)
+    return {r.id: r.t for r in out.select("id", "t").collect()}
+
+
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=0, max_value=6)), min_size=0, max_size=80),
+       st.integers(min_value=1, max_value=9), st.booleans())
+def test_small_domain_ntile_property(spark, keys, k, desc):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(keys)], "id long, k long")
+    order = F.col("k").desc_nulls_last() if desc else F.col("k").asc_nulls_first()
+    assert _small_domain(df, k, desc) == _builtin_ntile(df, k, order)
+
+
+def test_small_domain_hot_group_and_fallback(spark):
+    keys = [1] * 700 + [rnd % 40 + 2 for rnd in range(300)]
+    random.Random(5).shuffle(keys)
+    df = _frame(spark, keys)
+    want = _builtin_ntile(df, 4, F.col("k").asc())
+    assert _small_domain(df, 4, False) == want                   # histogram path
+    assert _small_domain(df, 4, False, max_distinct=3) == want   # falls back to full ranking
