@@ -115,45 +115,168 @@ def percentiles_exact(df: DataFrame, value: str, ps: Mapping[str, float],
     return ranked.agg(*percentile_aggs("_v", ps))
 
 
+# ---- histogram-based exact NTILE / percentiles ------------------------------
+#
+# A full range sort moves every row. The tile of a row only depends on its
+# global rank, and a group of rows sharing a key (or a value bucket) occupies
+# one contiguous block of ranks. A histogram with one row per group (partial-
+# aggregated, so a hot group costs one row per task) gives every block its
+# start rank. Blocks that lie inside one tile are labelled map-side; only the
+# few blocks holding a tile boundary (at most k - 1) or a requested
+# percentile position are ranked row by row with ``global_rank``.
+
+def _before(descending: bool = False) -> Window:
+    order = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_first()
+    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _group_starts(hist: DataFrame, group: str, descending: bool = False) -> DataFrame:
+    """(group, _w) histogram -> (_key, _w, _start, _n): each group's first
+    global rank and the total row count. Runs on the small histogram."""
+    return hist.withColumnRenamed(group, "_key").select(
+        "_key", "_w",
+        F.coalesce(F.sum("_w").over(_before(descending)), F.lit(0)).alias("_start"),
+        F.sum("_w").over(Window.partitionBy()).alias("_n"))
+
+
+_HELPERS = ["_key", "_w", "_start", "_n", "_t_first", "_t_last", "_sub_start"]
+
+
+def _ntile_by_groups(df: DataFrame, k: int, group: str, descending: bool,
+                     within: Sequence[Column], tie: Sequence[str], out: str,
+                     hist: DataFrame) -> DataFrame:
+    """NTILE(k) over (group [DESC], within..., tie) given the checkpointed,
+    size-bounded histogram ``hist`` (group, _w) of ``df``."""
+    g_order = F.col(group).desc_nulls_last() if descending else F.col(group).asc_nulls_first()
+    h = _group_starts(hist, group, descending)
+    h = (h.withColumn("_t_first", ntile_of("_start", "_n", k))
+          .withColumn("_t_last", ntile_of(F.col("_start") + F.col("_w") - 1, "_n", k)))
+    straddles = F.col("_t_first") != F.col("_t_last")
+    h = h.withColumn("_sub_start", F.coalesce(
+        F.sum(F.when(straddles, F.col("_w")).otherwise(F.lit(0))).over(_before(descending)),
+        F.lit(0)))
+    # the histogram is bounded (checked by the caller): safe to broadcast
+    joined = df.join(F.broadcast(h), df[group].eqNullSafe(h["_key"]))
+    uniform = joined.filter(~straddles).withColumn(out, F.col("_t_first"))
+    mixed = global_rank(joined.filter(straddles), [g_order, *within], tie)
+    mixed = mixed.withColumn(
+        out, ntile_of(F.col("_start") + F.col(RANK) - F.col("_sub_start"), "_n", k))
+    return uniform.drop(*_HELPERS).unionByName(mixed.drop(*_HELPERS, RANK, TOTAL))
+
+
 def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: str, out: str,
                        max_distinct: int = 200_000) -> DataFrame:
     """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY key [DESC], tie), exact,
     for keys with few distinct values (day counts, purchase counts).
 
-    The key histogram (one row per distinct value, partial-aggregated) gives
-    every value group its global start rank. When the histogram holds at
-    most ``max_distinct`` rows (checked at run time), it is broadcast. A group
-    whose first and last rank fall in the same tile is labelled map-side,
-    without moving its rows. Only the groups that straddle a tile boundary
-    (at most ``k - 1``) are ranked by ``tie`` with ``global_rank``, which splits
-    even a group holding most rows across partitions. A larger histogram
-    falls back to ``ntile_exact`` over the whole frame.
+    The key histogram is checkpointed and its size checked at run time: up
+    to ``max_distinct`` rows it is broadcast and only boundary groups are
+    sorted (by ``tie``; ``global_rank`` splits even a group holding most
+    rows). A larger histogram falls back to ``ntile_exact``.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
+    df = df.checkpoint(eager=True)   # read by the histogram and labelling passes
     hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
     if hist.count() > max_distinct:
+        order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
         return ntile_exact(df, k, [order], [tie], out)
+    return _ntile_by_groups(df, k, key, descending, [], [tie], out, hist)
 
-    hist_order = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_first()
-    before = Window.orderBy(hist_order).rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.partitionBy()
-    h = hist.withColumnRenamed(key, "_key").select(
-        "_key", "_w",
-        F.coalesce(F.sum("_w").over(before), F.lit(0)).alias("_start"),
-        F.sum("_w").over(everything).alias("_n"))
-    h = (h.withColumn("_t_first", ntile_of("_start", "_n", k))
-          .withColumn("_t_last", ntile_of(F.col("_start") + F.col("_w") - 1, "_n", k)))
-    straddles = F.col("_t_first") != F.col("_t_last")
-    h = h.withColumn("_sub_start", F.coalesce(
-        F.sum(F.when(straddles, F.col("_w")).otherwise(F.lit(0))).over(before), F.lit(0)))
 
-    # bounded by the max_distinct check above
-    joined = df.join(F.broadcast(h), df[key].eqNullSafe(h["_key"]))
-    helpers = ["_key", "_w", "_start", "_n", "_t_first", "_t_last", "_sub_start"]
-    uniform = joined.filter(~straddles).withColumn(out, F.col("_t_first"))
-    mixed = global_rank(joined.filter(straddles), [order], [tie])
-    mixed = mixed.withColumn(
-        out, ntile_of(F.col("_start") + F.col(RANK) - F.col("_sub_start"), "_n", k))
-    return (uniform.drop(*helpers)
-            .unionByName(mixed.drop(*helpers, RANK, TOTAL)))
+def approx_bounds(df: DataFrame, value: str, n_buckets: int = 256,
+                  accuracy: int = 10_000) -> list:
+    """At most ``n_buckets - 1`` distinct approximate quantiles of ``value``
+    (one bounded row to the driver). They only choose bucket edges:
+    results stay exact whatever their error."""
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+    row = df.agg(F.percentile_approx(F.col(value), qs, accuracy).alias("_q")).first()
+    return sorted({x for x in (row["_q"] or []) if x is not None})
+
+
+def bucket_index(x: Column, bounds: Sequence) -> Column:
+    """Number of ``bounds`` <= x (non-decreasing in x) as a balanced CASE
+    tree. Fine for a handful of bounds; ``_bucketed`` uses Spark's
+    binary-search ``Bucketizer`` for hundreds."""
+    def build(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(x < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
+    return build(0, len(bounds))
+
+
+def _bucketed(df: DataFrame, value: str, descending: bool, n_buckets: int,
+              accuracy: int) -> tuple[DataFrame, Column]:
+    """``df`` plus ``_o`` (the value, negated when descending) and ``_b``
+    (number of bucket edges <= ``_o``; NULLs first ascending, last
+    descending). Buckets are assigned JVM-side by binary search over the
+    edges (``pyspark.ml.feature.Bucketizer``). The edges are compared as
+    doubles, which keeps the bucket non-decreasing in the exact value."""
+    from pyspark.ml.feature import Bucketizer
+
+    o = -F.col(value) if descending else F.col(value)
+    with_o = df.withColumn("_o", o)
+    edges = sorted({float(x) for x in approx_bounds(with_o, "_o", n_buckets, accuracy)})
+    null_bucket = len(edges) + 1 if descending else -1
+    if edges:
+        bucketizer = Bucketizer(splits=[float("-inf"), *edges, float("inf")],
+                                inputCol="_od", outputCol="_bz", handleInvalid="keep")
+        b = bucketizer.transform(
+            with_o.withColumn("_od", F.coalesce(F.col("_o").cast("double"), F.lit(0.0))))
+    else:   # no non-null values: one bucket
+        b = with_o.withColumn("_od", F.lit(0.0)).withColumn("_bz", F.lit(0.0))
+    b = b.withColumn("_b", F.when(F.col("_o").isNull(), F.lit(null_bucket))
+                     .otherwise(F.col("_bz").cast("int"))).drop("_od", "_bz")
+    within = F.col("_o").asc_nulls_last() if descending else F.col("_o").asc_nulls_first()
+    return b, within
+
+
+def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str, out: str,
+                  n_buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+    """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY value [DESC], tie), exact,
+    for numeric values of any cardinality, without a full sort.
+
+    Rows are bucketed by approximate quantile edges (at most ``n_buckets``
+    buckets, so the histogram is bounded by construction). Buckets inside a
+    tile are labelled map-side; only the buckets holding one of the
+    ``k - 1`` tile boundaries (about (k-1)/n_buckets of the rows, or a hot
+    value's bucket) are range-sorted.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    df = df.checkpoint(eager=True)   # read by the quantile, histogram and labelling passes
+    b, within = _bucketed(df, value, descending, n_buckets, accuracy)
+    hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    return _ntile_by_groups(b, k, "_b", False, [within], [tie], out, hist).drop("_o", "_b")
+
+
+def percentiles_numeric(df: DataFrame, value: str, ps: Mapping[str, float], tie: Sequence[str],
+                        n_buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+    """One row of exact continuous percentiles of the non-null ``value``
+    (as double), like ``percentiles_exact`` but sorting only the buckets
+    that hold the 2 * len(ps) needed ranks."""
+    ensure_checkpoint_dir(df.sparkSession)
+    v = (df.select(F.col(value).cast("double").alias("_v"), *tie)
+         .filter(F.col("_v").isNotNull()).checkpoint(eager=True))
+    b, within = _bucketed(v, "_v", False, n_buckets, accuracy)
+    hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
+    h = _group_starts(hist, "_b")
+    end = F.col("_start") + F.col("_w")
+    need = F.lit(False)
+    for p in ps.values():
+        pos = F.lit(float(p)) * (F.col("_n") - 1)
+        for r in (F.floor(pos), F.ceil(pos)):
+            need = need | ((r >= F.col("_start")) & (r < end))
+    h = h.withColumn("_need", need).withColumn("_sub_start", F.coalesce(
+        F.sum(F.when(F.col("_need"), F.col("_w")).otherwise(F.lit(0))).over(_before()), F.lit(0)))
+    rows = b.join(F.broadcast(h.filter("_need")), b["_b"] == F.col("_key"))
+    ranked = global_rank(rows, [F.col("_b").asc(), within], tie)
+    ranked = ranked.withColumn("_g", F.col("_start") + F.col(RANK) - F.col("_sub_start"))
+    out = []
+    n = F.max(F.col("_n"))
+    for name, p in ps.items():
+        row_pos = F.lit(float(p)) * (F.col("_n") - 1)
+        v_lo = F.max(F.when(F.col("_g") == F.floor(row_pos), F.col("_v")))
+        v_hi = F.max(F.when(F.col("_g") == F.ceil(row_pos), F.col("_v")))
+        pos = F.lit(float(p)) * (n - 1)
+        out.append((v_lo + (v_hi - v_lo) * (pos - F.floor(pos))).alias(name))
+    return ranked.agg(*out)

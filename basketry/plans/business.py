@@ -11,7 +11,7 @@ from basketry.functions.scalar import (as_double, count_if, days_between, mean,
                                        pct_raw, product_type, purchase_band, ratio, round_half_up,
                                        sum_if)
 from basketry.operators.flags import conversion_by, distinct_with_flags, stage_flags
-from basketry.operators.ranking import ntile_exact
+from basketry.operators.ranking import ntile_numeric
 from basketry.operators.sequence import nth_event_gap, with_previous
 from basketry.operators.shares import share_of_total
 from basketry.operators.topn import top_n
@@ -51,10 +51,11 @@ def gross_vs_refunds(t: Tables) -> DataFrame:
 
 @entry("B03", "revenue_concentration")
 def revenue_concentration(t: Tables) -> DataFrame:
-    """NTILE(20) of sales by revenue (exact, distributed; ties by
-    transaction_id): top tile vs the rest."""
-    tiles = ntile_exact(t.sales.select("transaction_id", REV), L.REVENUE_TILES,
-                        [F.col(REV).asc_nulls_first()], ["transaction_id"], "revenue_tile")
+    """NTILE(20) of sales by revenue (exact; ties by transaction_id): top
+    tile vs the rest. Only the revenue buckets holding a tile boundary are
+    sorted (``ntile_numeric``)."""
+    tiles = ntile_numeric(t.sales.select("transaction_id", REV), L.REVENUE_TILES, REV, False,
+                          "transaction_id", "revenue_tile")
     segment = F.when(F.col("revenue_tile") == L.REVENUE_TILES, F.lit(L.TOP_5_PCT)) \
         .otherwise(F.lit(L.BOTTOM_95_PCT))
     seg = tiles.groupBy(segment.alias("segment")).agg(

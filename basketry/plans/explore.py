@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketry.functions.scalar import (age_group, as_double, mean, month_key, pct,
                                        product_type, purchase_band, ratio, round_half_up,
                                        weekday_name, weekday_number)
-from basketry.operators.ranking import global_rank, percentile_aggs
+from basketry.operators.ranking import percentiles_numeric
 from basketry.operators.shares import share_of_total
 from basketry.plans.catalog import entry
 from basketry.plans.tables import Tables
@@ -82,21 +82,25 @@ def per_product(tx: DataFrame) -> DataFrame:
 
 @entry("E01", "revenue_distribution")
 def revenue_distribution(t: Tables) -> DataFrame:
-    """Count, min, max, mean, sample stddev and p25/p50/p75/p95 of sales
-    revenue, in one aggregate over the exactly ranked sales."""
-    sales = t.sales.select("transaction_id", F.col(REV).alias("_rev"),
-                           as_double(REV).alias("_v"))
-    ranked = global_rank(sales, [F.col("_v").asc_nulls_last()], ["transaction_id"],
-                         count_non_null="_v")
+    """Count, min, max, mean, sample stddev (one aggregate) and exact
+    p25/p50/p75/p95 of sales revenue (``percentiles_numeric``: only the
+    value buckets holding the needed ranks are sorted). The two one-row
+    results are merged with a union and max, not a join."""
+    sales = t.sales
+    stats = sales.agg(F.count(F.lit(1)).alias("total_transactions"),
+                      F.min(REV).alias("_min"), F.max(REV).alias("_max"),
+                      mean(REV).alias("_avg"), F.stddev_samp(REV).alias("_sd"))
     ps = {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95}
-    cols = percentile_aggs("_v", ps)
-    return ranked.agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        round_half_up(F.min("_rev")).alias("min_revenue"),
-        round_half_up(F.max("_rev")).alias("max_revenue"),
-        round_half_up(mean("_rev")).alias("avg_revenue"),
-        round_half_up(F.stddev_samp("_rev")).alias("stddev_revenue"),
-        *[round_half_up(c).alias(name) for c, name in zip(cols, ps)])
+    pcts = percentiles_numeric(sales, REV, ps, ["transaction_id"])
+    one = stats.unionByName(pcts, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in [*stats.columns, *ps]])
+    return one.select(
+        "total_transactions",
+        round_half_up("_min").alias("min_revenue"),
+        round_half_up("_max").alias("max_revenue"),
+        round_half_up("_avg").alias("avg_revenue"),
+        round_half_up("_sd").alias("stddev_revenue"),
+        *[round_half_up(name).alias(name) for name in ps])
 
 
 @entry("E02", "quantity_distribution")

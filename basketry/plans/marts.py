@@ -10,7 +10,7 @@ from basketry.functions import labels as L
 from basketry.functions.scalar import (age_group, as_double, days_between, flag, month_key,
                                        ratio, round_half_up)
 from basketry.operators.flags import stage_flags
-from basketry.operators.ranking import ntile_exact, ntile_small_domain
+from basketry.operators.ranking import ntile_numeric, ntile_small_domain
 from basketry.operators.sequence import nth_event_gap
 from basketry.plans.catalog import entry
 from basketry.plans.explore import REV, sales_per_customer
@@ -42,17 +42,16 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
     deterministic. ``invert=True`` reverses all three orders (best
     customers score 1) but keeps the labels. Recency (days) and frequency
     (purchase counts) have small key domains: their tiles come from the
-    key histogram, and only boundary groups are sorted. Monetary uses the
-    full exact distributed ranking. Each pass carries the earlier scores
-    along, so no joins between passes are needed.
+    key histogram; monetary (any cardinality) from a histogram of
+    approximate-quantile buckets. In every pass only the groups holding a
+    tile boundary are sorted. Each pass carries the earlier scores along,
+    so no joins between passes are needed.
     """
     k = L.RFM_TILES
     scored = rfm_base(t)
     scored = ntile_small_domain(scored, k, "recency_days", not invert, "customer_id", "r_score")
     scored = ntile_small_domain(scored, k, "frequency", invert, "customer_id", "f_score")
-    monetary = F.col("monetary")
-    m_order = monetary.desc_nulls_last() if invert else monetary.asc_nulls_first()
-    scored = ntile_exact(scored, k, [m_order], ["customer_id"], "m_score")
+    scored = ntile_numeric(scored, k, "monetary", invert, "customer_id", "m_score")
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.select("customer_id", "recency_days", "frequency", "monetary",
                          "r_score", "f_score", "m_score", total.alias("rfm_total"),

@@ -121,3 +121,27 @@ def test_small_domain_hot_group_and_fallback(spark):
     want = _builtin_ntile(df, 4, F.col("k").asc())
     assert _small_domain(df, 4, False) == want                   # histogram path
     assert _small_domain(df, 4, False, max_distinct=3) == want   # falls back to full ranking
+
+
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=-300, max_value=300)), min_size=0,
+                max_size=120),
+       st.integers(min_value=1, max_value=9), st.booleans(), st.sampled_from([2, 4, 16]))
+def test_numeric_ntile_property(spark, keys, k, desc, n_buckets):
+    from basketry.operators.ranking import ntile_numeric
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(keys)], "id long, k long")
+    order = F.col("k").desc_nulls_last() if desc else F.col("k").asc_nulls_first()
+    got = ntile_numeric(df.repartition(3), k, "k", desc, "id", "t", n_buckets=n_buckets)
+    assert {r.id: r.t for r in got.collect()} == _builtin_ntile(df, k, order)
+
+
+def test_numeric_percentiles_match_builtin_with_hot_value(spark):
+    from basketry.operators.ranking import percentiles_numeric
+    rnd = random.Random(9)
+    vals = [42.0] * 400 + [round(rnd.lognormvariate(3, 2), 2) for _ in range(800)] + [None] * 7
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
+    ps = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p0": 0.0, "p100": 1.0}
+    got = percentiles_numeric(df, "v", ps, ["id"], n_buckets=32).first().asDict()
+    ref = df.agg(*[F.percentile("v", p).alias(n) for n, p in ps.items()]).first().asDict()
+    for n in ps:
+        assert abs(got[n] - ref[n]) < 1e-9, (n, got[n], ref[n])
