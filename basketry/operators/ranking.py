@@ -165,7 +165,7 @@ def _ntile_by_groups(df: DataFrame, k: int, group: str, descending: bool,
 
 
 def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: str, out: str,
-                       max_distinct: int = 200_000) -> DataFrame:
+                       max_distinct: int = 200_000, materialize: bool = True) -> DataFrame:
     """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY key [DESC], tie), exact,
     for keys with few distinct values (day counts, purchase counts).
 
@@ -173,9 +173,13 @@ def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: s
     to ``max_distinct`` rows it is broadcast and only boundary groups are
     sorted (by ``tie``; ``global_rank`` splits even a group holding most
     rows). A larger histogram falls back to ``ntile_exact``.
+
+    ``df`` is read several times; with ``materialize`` it is checkpointed
+    first (pass False when it is already cheap to re-read).
     """
     ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)   # read by the histogram and labelling passes
+    if materialize:
+        df = df.checkpoint(eager=True)
     hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
     if hist.count() > max_distinct:
         order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
@@ -232,7 +236,8 @@ def _bucketed(df: DataFrame, value: str, descending: bool, n_buckets: int,
 
 
 def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str, out: str,
-                  n_buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+                  n_buckets: int = 256, accuracy: int = 10_000,
+                  materialize: bool = True) -> DataFrame:
     """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY value [DESC], tie), exact,
     for numeric values of any cardinality, without a full sort.
 
@@ -240,10 +245,12 @@ def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str,
     buckets, so the histogram is bounded by construction). Buckets inside a
     tile are labelled map-side; only the buckets holding one of the
     ``k - 1`` tile boundaries (about (k-1)/n_buckets of the rows, or a hot
-    value's bucket) are range-sorted.
+    value's bucket) are range-sorted. ``materialize`` as in
+    ``ntile_small_domain``.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    df = df.checkpoint(eager=True)   # read by the quantile, histogram and labelling passes
+    if materialize:
+        df = df.checkpoint(eager=True)
     b, within = _bucketed(df, value, descending, n_buckets, accuracy)
     hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
     return _ntile_by_groups(b, k, "_b", False, [within], [tie], out, hist).drop("_o", "_b")

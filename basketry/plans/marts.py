@@ -10,7 +10,7 @@ from basketry.functions import labels as L
 from basketry.functions.scalar import (age_group, as_double, days_between, flag, month_key,
                                        ratio, round_half_up)
 from basketry.operators.flags import stage_flags
-from basketry.operators.ranking import ntile_numeric, ntile_small_domain
+from basketry.operators.ranking import ntile_exact
 from basketry.operators.sequence import nth_event_gap
 from basketry.plans.catalog import entry
 from basketry.plans.explore import REV, sales_per_customer
@@ -40,18 +40,23 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
 
     Every tile order ends with customer_id ascending so ties are
     deterministic. ``invert=True`` reverses all three orders (best
-    customers score 1) but keeps the labels. Recency (days) and frequency
-    (purchase counts) have small key domains: their tiles come from the
-    key histogram; monetary (any cardinality) from a histogram of
-    approximate-quantile buckets. In every pass only the groups holding a
-    tile boundary are sorted. Each pass carries the earlier scores along,
-    so no joins between passes are needed.
+    customers score 1) but keeps the labels. The ranked frame is the
+    per-customer aggregate (far smaller than the fact), so each tile is an
+    exact distributed range-sort pass (``ntile_exact``; the tie key splits
+    a hot value across partitions). Each pass carries the earlier scores
+    along, so no joins between passes are needed.
     """
     k = L.RFM_TILES
+    recency = F.col("recency_days")
+    frequency = F.col("frequency")
+    monetary = F.col("monetary")
+    if not invert:
+        orders = [recency.desc_nulls_last(), frequency.asc_nulls_first(), monetary.asc_nulls_first()]
+    else:
+        orders = [recency.asc_nulls_first(), frequency.desc_nulls_last(), monetary.desc_nulls_last()]
     scored = rfm_base(t)
-    scored = ntile_small_domain(scored, k, "recency_days", not invert, "customer_id", "r_score")
-    scored = ntile_small_domain(scored, k, "frequency", invert, "customer_id", "f_score")
-    scored = ntile_numeric(scored, k, "monetary", invert, "customer_id", "m_score")
+    for out, order in zip(["r_score", "f_score", "m_score"], orders):
+        scored = ntile_exact(scored, k, [order], ["customer_id"], out)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.select("customer_id", "recency_days", "frequency", "monetary",
                          "r_score", "f_score", "m_score", total.alias("rfm_total"),
