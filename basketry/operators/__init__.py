@@ -1,12 +1,14 @@
 """Reusable distributed operators the query plans are composed from."""
 
 from basketry.operators.flags import conversion_by, distinct_with_flags, stage_flags
-from basketry.operators.ranking import (global_rank, ntile_exact, ntile_of, percentile_aggs,
-                                        percentiles_exact)
+from basketry.operators.ranking import (global_rank, ntile_exact, ntile_numeric, ntile_of,
+                                        ntile_small_domain, percentile_aggs, percentiles_exact,
+                                        percentiles_numeric)
 from basketry.operators.sequence import nth_event_gap, with_previous
 from basketry.operators.shares import share_of_total
 from basketry.operators.topn import top_n
 
 __all__ = ["conversion_by", "distinct_with_flags", "stage_flags", "global_rank", "ntile_exact",
-           "ntile_of", "percentile_aggs", "percentiles_exact", "nth_event_gap", "with_previous",
+           "ntile_of", "ntile_numeric", "ntile_small_domain", "percentile_aggs", "percentiles_exact",
+           "percentiles_numeric", "nth_event_gap", "with_previous",
            "share_of_total", "top_n"]

@@ -257,13 +257,17 @@ def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str,
 
 
 def percentiles_numeric(df: DataFrame, value: str, ps: Mapping[str, float], tie: Sequence[str],
-                        n_buckets: int = 256, accuracy: int = 10_000) -> DataFrame:
+                        n_buckets: int = 256, accuracy: int = 10_000,
+                        materialize: bool = True) -> DataFrame:
     """One row of exact continuous percentiles of the non-null ``value``
     (as double), like ``percentiles_exact`` but sorting only the buckets
-    that hold the 2 * len(ps) needed ranks."""
+    that hold the 2 * len(ps) needed ranks. ``materialize`` as in
+    ``ntile_small_domain``."""
     ensure_checkpoint_dir(df.sparkSession)
     v = (df.select(F.col(value).cast("double").alias("_v"), *tie)
-         .filter(F.col("_v").isNotNull()).checkpoint(eager=True))
+         .filter(F.col("_v").isNotNull()))
+    if materialize:
+        v = v.checkpoint(eager=True)
     b, within = _bucketed(v, "_v", False, n_buckets, accuracy)
     hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
     h = _group_starts(hist, "_b")

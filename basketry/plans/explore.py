@@ -16,6 +16,7 @@ from basketry.operators.ranking import percentiles_numeric
 from basketry.operators.shares import share_of_total
 from basketry.plans.catalog import entry
 from basketry.plans.tables import Tables
+from basketry.session import ensure_checkpoint_dir
 
 REV = "gross_revenue_clean"
 
@@ -86,12 +87,15 @@ def revenue_distribution(t: Tables) -> DataFrame:
     p25/p50/p75/p95 of sales revenue (``percentiles_numeric``: only the
     value buckets holding the needed ranks are sorted). The two one-row
     results are merged with a union and max, not a join."""
-    sales = t.sales
+    # one narrow copy of the sales feeds both the aggregate and the
+    # percentile passes (quantile edges, histogram, boundary buckets)
+    ensure_checkpoint_dir(t.sales.sparkSession)
+    sales = t.sales.select("transaction_id", REV).checkpoint(eager=True)
     stats = sales.agg(F.count(F.lit(1)).alias("total_transactions"),
                       F.min(REV).alias("_min"), F.max(REV).alias("_max"),
                       mean(REV).alias("_avg"), F.stddev_samp(REV).alias("_sd"))
     ps = {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95}
-    pcts = percentiles_numeric(sales, REV, ps, ["transaction_id"])
+    pcts = percentiles_numeric(sales, REV, ps, ["transaction_id"], materialize=False)
     one = stats.unionByName(pcts, allowMissingColumns=True).agg(
         *[F.max(c).alias(c) for c in [*stats.columns, *ps]])
     return one.select(
