@@ -13,17 +13,19 @@ from basketry.operators.flags import stage_flags
 from basketry.operators.ranking import ntile_exact
 from basketry.operators.sequence import nth_event_gap
 from basketry.plans.catalog import entry
-from basketry.plans.explore import REV, sales_per_customer
+from basketry.plans.explore import sales_per_customer
 from basketry.plans.tables import Tables
 
 
 def rfm_base(t: Tables) -> DataFrame:
     """Per purchasing customer: days since the last sale (to ``t.as_of``),
-    number of sales, and sales revenue rounded to cents before scoring."""
-    return t.sales.groupBy("customer_id").agg(
-        days_between(F.max("timestamp"), F.to_date(F.lit(t.as_of))).alias("recency_days"),
-        F.count(F.lit(1)).alias("frequency"),
-        F.round(F.sum(REV), 2).alias("monetary"))
+    number of sales, and sales revenue rounded to cents before scoring
+    (derived from the shared per-customer sales aggregate)."""
+    return sales_per_customer(t).select(
+        "customer_id",
+        days_between("last_ts", F.to_date(F.lit(t.as_of))).alias("recency_days"),
+        F.col("n_rows").alias("frequency"),
+        F.round("sum_rev", 2).alias("monetary"))
 
 
 def _segment(total) -> F.Column:
@@ -120,3 +122,22 @@ def customer_summary(t: Tables) -> DataFrame:
 def days_to_second_purchase(t: Tables) -> DataFrame:
     gaps = nth_event_gap(t.sales, "customer_id", "timestamp", 1, 2, "days_to_second_purchase")
     return gaps.groupBy("days_to_second_purchase").agg(F.count(F.lit(1)).alias("total_customers"))
+
+
+MARTS = ["rfm_segments", "cohort_analysis", "funnel_customers", "customer_summary",
+         "days_to_second_purchase"]
+
+
+def build_marts(t: Tables, share: bool = True) -> dict[str, DataFrame]:
+    """V01-V05 for a BI refresh. With ``share`` the per-customer sales
+    aggregate (read by V01, V02 and V04) is computed once and checkpointed
+    instead of once per mart; write the result with
+    ``basketry.sources.write_marts``."""
+    if share and "customer_sales" not in t.shared:
+        from basketry.session import ensure_checkpoint_dir
+        ensure_checkpoint_dir(t.sales.sparkSession)
+        t.shared["customer_sales"] = sales_per_customer(t).checkpoint(eager=True)
+    fns = {"rfm_segments": rfm_segments, "cohort_analysis": cohort_analysis,
+           "funnel_customers": funnel_customers, "customer_summary": customer_summary,
+           "days_to_second_purchase": days_to_second_purchase}
+    return {name: fns[name](t) for name in MARTS}

@@ -32,6 +32,7 @@ class Tables:
                          "campaigns": campaigns, "events": events,
                          "transactions": transactions}
         self.as_of = as_of
+        self.shared: dict[str, DataFrame] = {}
 
     def _raw(self, name: str) -> DataFrame:
         src = self._sources[name]

@@ -65,3 +65,20 @@ def test_cleaning_on_stream(spark, small_tables):
     got = spark.table("events_clean_stream")
     assert got.count() == small_tables.ev.count()
     assert got.filter(F.col("device_type").isNull()).count() == 0
+
+
+def test_build_marts_shares_customer_aggregate(spark):
+    from conftest import SF_SMALL
+    from basketry.plans.marts import MARTS, build_marts
+    from basketry.plans.registry import run_entry
+    from basketry.plans.tables import Tables
+    shared_t = Tables.from_fixtures(spark, SF_SMALL)
+    marts = build_marts(shared_t)
+    assert list(marts) == MARTS and "customer_sales" in shared_t.shared
+    plain_t = Tables.from_fixtures(spark, SF_SMALL)
+    for name, df in marts.items():
+        want = run_entry(name, plain_t)
+        assert df.exceptAll(want).count() == 0 and want.exceptAll(df).count() == 0, name
+    out = tempfile.mkdtemp(prefix="basketry-marts-all-")
+    written = write_marts(marts, out)
+    assert spark.read.parquet(written[3]).count() == plain_t.cu.count()
