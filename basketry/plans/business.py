@@ -17,7 +17,7 @@ from basketry.operators.shares import share_of_total
 from basketry.operators.topn import top_n
 from basketry.plans.catalog import entry
 from basketry.plans.explore import REV, per_product, sales_per_customer
-from basketry.plans.marts import funnel_flags, rfm_scores
+from basketry.plans.marts import rfm_scores
 from basketry.plans.tables import Tables
 
 
@@ -415,4 +415,4 @@ def cohort_ltv(t: Tables) -> DataFrame:
         round_half_up(ratio(F.sum("n_tx"), F.count(F.lit(1)))).alias("avg_purchases_per_customer"))
 
 
-__all__ = ["funnel_flags", "second_purchase_gaps", "funnel_counts", "campaign_conversion"]
+__all__ = ["second_purchase_gaps", "funnel_counts", "campaign_conversion"]
