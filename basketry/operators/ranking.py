@@ -26,6 +26,17 @@ from basketry.session import ensure_checkpoint_dir
 RANK = "_rank"
 TOTAL = "_total"
 VALID = "_valid"
+# target size of one range partition when the row count is known
+ROWS_PER_RANGE_PARTITION = 2_000_000
+
+
+def range_partitions(spark, rows: int) -> int:
+    """Range partitions for sorting ``rows`` rows: never fewer than the
+    session's shuffle partitions, and about ``ROWS_PER_RANGE_PARTITION``
+    rows each on large inputs (AQE can merge small partitions but never
+    splits a range partition)."""
+    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    return max(base, -(-int(rows) // ROWS_PER_RANGE_PARTITION))
 
 
 def _sort_keys(order: Sequence[Column], tie: Sequence[str]) -> list[Column]:
@@ -34,18 +45,22 @@ def _sort_keys(order: Sequence[Column], tie: Sequence[str]) -> list[Column]:
 
 def global_rank(df: DataFrame, order: Sequence[Column], tie: Sequence[str],
                 rank: str = RANK, total: str = TOTAL,
-                count_non_null: str | None = None) -> DataFrame:
+                count_non_null: str | None = None,
+                num_partitions: int | None = None) -> DataFrame:
     """Add ``rank`` (0-based position in the total order ``order, tie``)
     and ``total`` (row count) to every row of ``df``; with
     ``count_non_null`` also ``VALID``, the number of rows where that column
     is not NULL.
 
     ``tie`` must make the order total (a unique key), otherwise equal rows
-    are ranked arbitrarily.
+    are ranked arbitrarily. ``num_partitions`` sets the range partition
+    count (default: the session's shuffle partitions).
     """
     ensure_checkpoint_dir(df.sparkSession)
     keys = _sort_keys(order, tie)
-    placed = (df.repartitionByRange(*keys)
+    ranged = (df.repartitionByRange(num_partitions, *keys) if num_partitions
+              else df.repartitionByRange(*keys))
+    placed = (ranged
               .sortWithinPartitions(*keys)
               .withColumn("_part", F.spark_partition_id())
               .withColumn("_pos", F.monotonically_increasing_id())
@@ -158,7 +173,9 @@ def _ntile_by_groups(df: DataFrame, k: int, group: str, descending: bool,
     # the histogram is bounded (checked by the caller): safe to broadcast
     joined = df.join(F.broadcast(h), df[group].eqNullSafe(h["_key"]))
     uniform = joined.filter(~straddles).withColumn(out, F.col("_t_first"))
-    mixed = global_rank(joined.filter(straddles), [g_order, *within], tie)
+    to_sort = h.filter(straddles).agg(F.sum("_w")).first()[0] or 0
+    mixed = global_rank(joined.filter(straddles), [g_order, *within], tie,
+                        num_partitions=range_partitions(df.sparkSession, to_sort))
     mixed = mixed.withColumn(
         out, ntile_of(F.col("_start") + F.col(RANK) - F.col("_sub_start"), "_n", k))
     return uniform.drop(*_HELPERS).unionByName(mixed.drop(*_HELPERS, RANK, TOTAL))
@@ -279,8 +296,11 @@ def percentiles_numeric(df: DataFrame, value: str, ps: Mapping[str, float], tie:
             need = need | ((r >= F.col("_start")) & (r < end))
     h = h.withColumn("_need", need).withColumn("_sub_start", F.coalesce(
         F.sum(F.when(F.col("_need"), F.col("_w")).otherwise(F.lit(0))).over(_before()), F.lit(0)))
-    rows = b.join(F.broadcast(h.filter("_need")), b["_b"] == F.col("_key"))
-    ranked = global_rank(rows, [F.col("_b").asc(), within], tie)
+    needed = h.filter("_need")
+    to_sort = needed.agg(F.sum("_w")).first()[0] or 0
+    rows = b.join(F.broadcast(needed), b["_b"] == F.col("_key"))
+    ranked = global_rank(rows, [F.col("_b").asc(), within], tie,
+                         num_partitions=range_partitions(df.sparkSession, to_sort))
     ranked = ranked.withColumn("_g", F.col("_start") + F.col(RANK) - F.col("_sub_start"))
     out = []
     n = F.max(F.col("_n"))
