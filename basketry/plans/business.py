@@ -14,7 +14,7 @@ from basketry.operators.flags import conversion_by, distinct_with_flags, stage_f
 from basketry.operators.ranking import ntile_numeric
 from basketry.operators.sequence import nth_event_gap, with_previous
 from basketry.operators.shares import share_of_total
-from basketry.operators.topn import top_n
+from basketry.operators.topn import top_n_joined
 from basketry.plans.catalog import entry
 from basketry.plans.explore import REV, per_product, sales_per_customer
 from basketry.plans.marts import rfm_scores
@@ -256,14 +256,20 @@ def category_performance(t: Tables) -> DataFrame:
 
 @entry("B16", "top_products")
 def top_products(t: Tables) -> DataFrame:
-    """Top 10 products by sales revenue (ties by product_id)."""
-    rolled = _product_rollup(t, t.sales, ["category", "brand", "is_premium"])
-    per = rolled.select(
-        "product_id", "category", "brand", product_type("is_premium").alias("product_type"),
+    """Top 10 products by sales revenue (ties by product_id). Candidates
+    come from the per-product aggregate; only they meet the product
+    dimension (``top_n_joined``)."""
+    per = per_product(t.sales).select(
+        "product_id",
         F.col("n_tx").alias("total_transactions"),
         round_half_up("sum_sale0").alias("net_revenue"),
         round_half_up(ratio("sum_sale0", "n_sale0")).alias("avg_order_value"))
-    return top_n(per, [F.col("net_revenue").desc_nulls_last(), F.col("product_id").asc()], L.TOP_N)
+    dim = t.pr.select("product_id", "category", "brand", "is_premium")
+    return top_n_joined(
+        per, dim, "product_id",
+        [F.col("net_revenue").desc_nulls_last(), F.col("product_id").asc()], L.TOP_N,
+        ["product_id", "category", "brand", product_type("is_premium").alias("product_type"),
+         "total_transactions", "net_revenue", "avg_order_value"])
 
 
 @entry("B17", "premium_performance")
@@ -315,16 +321,20 @@ def rfm_summary_inverted(t: Tables) -> DataFrame:
 
 @entry("B21", "top_customers")
 def top_customers(t: Tables) -> DataFrame:
-    """Top 10 customers by sales revenue (ties by customer_id) with profile."""
-    joined = sales_per_customer(t).join(
-        t.cu.select("customer_id", "country", "age", "loyalty_tier"), "customer_id")
-    per = joined.select(
-        "customer_id", "country", "age", "loyalty_tier",
+    """Top 10 customers by sales revenue (ties by customer_id) with profile.
+    Candidates come from the per-customer aggregate; only they meet the
+    customer dimension (``top_n_joined``)."""
+    per = sales_per_customer(t).select(
+        "customer_id",
         F.col("n_rows").alias("total_purchases"),
         round_half_up("sum_rev").alias("total_revenue"),
         days_between("first_ts", "last_ts").alias("customer_lifespan_days"))
-    return top_n(per, [F.col("total_revenue").desc_nulls_last(), F.col("customer_id").asc()],
-                 L.TOP_N)
+    dim = t.cu.select("customer_id", "country", "age", "loyalty_tier")
+    return top_n_joined(
+        per, dim, "customer_id",
+        [F.col("total_revenue").desc_nulls_last(), F.col("customer_id").asc()], L.TOP_N,
+        ["customer_id", "country", "age", "loyalty_tier", "total_purchases", "total_revenue",
+         "customer_lifespan_days"])
 
 
 # ---- 6. funnel & conversion ---------------------------------------------------

@@ -65,8 +65,21 @@ def test_second_purchase_limits_before_shuffle(spark, name):
 
 
 @pytest.mark.parametrize("name", ["top_products", "top_customers"])
-def test_top_n_is_take_ordered(spark, name):
-    assert "TakeOrderedAndProject" in plan_of(spark, name)
+def test_top_n_is_materialized_small_result(spark, name):
+    """Top-n joins only candidates to the dimension and returns the stored
+    n-row answer (no join of the full aggregate with the dimension)."""
+    plan = plan_of(spark, name)
+    assert "Scan ExistingRDD" in plan and "Join" not in plan
+
+
+def test_top_n_candidates_take_ordered_and_broadcast(spark):
+    from pyspark.sql import functions as F
+    facts = spark.range(1000).select(F.col("id").alias("k"), (F.col("id") % 97).alias("v"))
+    dim = spark.range(1000).select(F.col("id").alias("k"), F.lit("x").alias("a"))
+    cand = facts.orderBy(F.col("v").desc(), "k").limit(10)
+    plan = dim.join(F.broadcast(cand), "k")._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and "BroadcastHashJoin" in plan
+    assert "SortMergeJoin" not in plan
 
 
 def test_funnel_dropoff_computes_funnel_once(spark):

@@ -190,3 +190,17 @@ def test_fixture_probe_values(spark):
     bands = {r.purchase_segment: r.total_customers for r in E.purchase_recurrence(t).collect()}
     assert bands == {"1 purchase": 22, "2-3 purchases": 144, "4-5 purchases": 362, "6+ purchases": 969}
     assert B.days_to_second_stats(t).first().median_days == 253.0
+
+
+def test_top_n_joined_retries_when_candidates_miss_the_dimension(spark):
+    from pyspark.sql import functions as F
+
+    from basketry.operators.topn import top_n_joined
+    facts = spark.createDataFrame([(i, float(100 - i)) for i in range(1, 41)], "cid long, rev double")
+    dim = spark.createDataFrame([(i, f"c{i}") for i in range(13, 41)], "cid long, name string")
+    order = [F.col("rev").desc(), F.col("cid").asc()]
+    got = [r.cid for r in top_n_joined(facts, dim, "cid", order, 10, ["cid", "name", "rev"]).collect()]
+    want = [r.cid for r in facts.join(dim, "cid").orderBy(*order).limit(10).collect()]
+    assert sorted(got) == sorted(want) == list(range(13, 23))
+    few = top_n_joined(facts.filter("cid <= 3"), dim, "cid", order, 10, ["cid"]).collect()
+    assert few == []            # all 3 candidates tried; none in the dimension
