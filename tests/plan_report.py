@@ -26,7 +26,7 @@ def skeleton(plan: str) -> list[str]:
     out = []
     depths: list[int] = []
     for line in plan.splitlines():
-        op = re.sub(r"^[\s:+\-*]*", "", line)
+        op = re.sub(r"^[\s:+\-*]*(\(\d+\) )?", "", line)
         indent = len(line) - len(op)
         m = KEEP.match(op)
         if not m:
@@ -64,7 +64,10 @@ def main() -> None:
           f"top-down; fixture input `{sf}`, generated by `tests/plan_report.py`). "
           "`Scan ExistingRDD` is the checkpointed frame of the exact ranking operator; "
           "its `Exchange rangepartitioning` on (order keys, unique tie key) runs once, in "
-          "the checkpoint job, and the plans shown read the stored result. Dimension sides show as broadcasts only because "
+          "the checkpoint job, and the plans shown read the stored result. The top-n reports "
+          "(B16, B21) return their stored n-row answer: their candidates come from a "
+          "TakeOrderedAndProject over the aggregate, broadcast into a scan of the dimension "
+          "(see `operators/topn.py`). Dimension sides show as broadcasts only because "
           "Spark's size check admits them at this scale; larger dimensions plan as "
           "sort-merge joins.\n")
     for name, e in ENTRIES.items():
