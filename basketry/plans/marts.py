@@ -10,7 +10,7 @@ from basketry.functions import labels as L
 from basketry.functions.scalar import (age_group, as_double, days_between, flag, month_key,
                                        ratio, round_half_up)
 from basketry.operators.flags import stage_flags
-from basketry.operators.ranking import ntile_exact
+from basketry.operators.ranking import RANK, TOTAL, global_rank, ntile_of, range_partitions
 from basketry.operators.sequence import nth_event_gap
 from basketry.plans.catalog import entry
 from basketry.plans.explore import sales_per_customer
@@ -44,8 +44,9 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
     deterministic. ``invert=True`` reverses all three orders (best
     customers score 1) but keeps the labels. The ranked frame is the
     per-customer aggregate (far smaller than the fact), so each tile is an
-    exact distributed range-sort pass (``ntile_exact``; the tie key splits
-    a hot value across partitions). Each pass carries the earlier scores
+    exact distributed range-sort pass (``global_rank``; the tie key splits
+    a hot value across partitions), the later passes sized from the exact
+    customer count of the first. Each pass carries the earlier scores
     along, so no joins between passes are needed.
     """
     k = L.RFM_TILES
@@ -57,8 +58,14 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
     else:
         orders = [recency.asc_nulls_first(), frequency.desc_nulls_last(), monetary.desc_nulls_last()]
     scored = rfm_base(t)
+    n_parts = None   # first pass: session default; then sized from the exact count
     for out, order in zip(["r_score", "f_score", "m_score"], orders):
-        scored = ntile_exact(scored, k, [order], ["customer_id"], out)
+        ranked = global_rank(scored, [order], ["customer_id"], num_partitions=n_parts)
+        scored = ranked.withColumn(out, ntile_of(RANK, TOTAL, k))
+        if n_parts is None:
+            first = scored.select(TOTAL).first()
+            n_parts = range_partitions(scored.sparkSession, first[0] if first else 0)
+        scored = scored.drop(RANK, TOTAL)
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.select("customer_id", "recency_days", "frequency", "monetary",
                          "r_score", "f_score", "m_score", total.alias("rfm_total"),
