@@ -35,3 +35,21 @@ def test_entry_smoke(spark):
         "rfm_segment", "total_customers", "total_revenue", "avg_revenue_per_customer",
         "avg_recency_days", "avg_frequency", "pct_of_revenue"]
     assert len(rows) > 0
+
+
+def test_results_do_not_depend_on_session_settings(spark):
+    """ANSI off, AQE off, many shuffle partitions and a non-UTC session zone
+    give the same answers (operators use explicit casts, NTZ timestamps)."""
+    conf = {"spark.sql.ansi.enabled": "false", "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "64", "spark.sql.session.timeZone": "Asia/Kolkata"}
+    before = {k: spark.conf.get(k) for k in conf}
+    names = ["revenue_distribution", "revenue_concentration", "rfm_summary", "weekday_revenue",
+             "hourly_events", "days_to_second_stats", "top_customers", "customer_summary"]
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        report = compare(spark, SF_SMALL, names, verbose=False)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert all(v == "OK" for v in report.values()), report
