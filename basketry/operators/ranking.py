@@ -205,10 +205,13 @@ def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: s
 
 
 def approx_bounds(df: DataFrame, value: str, n_buckets: int = 256,
-                  accuracy: int = 10_000) -> list:
+                  accuracy: int = 1_000) -> list:
     """At most ``n_buckets - 1`` distinct approximate quantiles of ``value``
     (one bounded row to the driver). They only choose bucket edges:
-    results stay exact whatever their error."""
+    results stay exact whatever their error. A modest ``accuracy`` keeps
+    each task's sketch small, so the single final merge of one sketch per
+    map task stays cheap on very wide jobs; bucket sizes still land within
+    about N/accuracy of N/n_buckets."""
     qs = [i / n_buckets for i in range(1, n_buckets)]
     row = df.agg(F.percentile_approx(F.col(value), qs, accuracy).alias("_q")).first()
     return sorted({x for x in (row["_q"] or []) if x is not None})
@@ -253,7 +256,7 @@ def _bucketed(df: DataFrame, value: str, descending: bool, n_buckets: int,
 
 
 def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str, out: str,
-                  n_buckets: int = 256, accuracy: int = 10_000,
+                  n_buckets: int = 256, accuracy: int = 1_000,
                   materialize: bool = True) -> DataFrame:
     """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY value [DESC], tie), exact,
     for numeric values of any cardinality, without a full sort.
@@ -274,7 +277,7 @@ def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str,
 
 
 def percentiles_numeric(df: DataFrame, value: str, ps: Mapping[str, float], tie: Sequence[str],
-                        n_buckets: int = 256, accuracy: int = 10_000,
+                        n_buckets: int = 256, accuracy: int = 1_000,
                         materialize: bool = True) -> DataFrame:
     """One row of exact continuous percentiles of the non-null ``value``
     (as double), like ``percentiles_exact`` but sorting only the buckets
