@@ -12,7 +12,7 @@ from basketry.sources import read_table, register_views, write_marts
 from basketry.schemas import CAMPAIGNS, EVENTS
 
 CSV = """campaign_id,channel,objective,start_date,end_date,target_segment,expected_uplift
-1,Paid Search,Cross-sell,2021-10-25,2021-11-26,Deal Seekers,0.022
+1,Paid Search,Cross-sell,2022-03-14,2022-04-02,Deal Seekers,0.031
 2,Email,Retention,2022-01-03,2022-02-14,High Value,0.105
 3,Social,Acquisition,2023-05-01,2023-06-30,New Customers,0.144
 """
@@ -20,14 +20,14 @@ CSV = """campaign_id,channel,objective,start_date,end_date,target_segment,expect
 
 def test_csv_reader_applies_fixed_schema(spark):
     d = tempfile.mkdtemp(prefix="basketry-csv-")
-    path = os.path.join(d, "campaigns.csv")
+    path = os.path.join(d, "campaign_rows.csv")
     with open(path, "w") as f:
         f.write(CSV)
     df = read_table(spark, "campaigns", path, fmt="csv")
     assert df.schema == CAMPAIGNS
     rows = df.orderBy("campaign_id").collect()
     assert len(rows) == 3
-    assert str(rows[0].start_date) == "2021-10-25" and str(rows[0].expected_uplift) == "0.022"
+    assert str(rows[0].start_date) == "2022-03-14" and str(rows[0].expected_uplift) == "0.031"
     assert rows[2].target_segment == "New Customers"
 
 
