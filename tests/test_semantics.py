@@ -204,3 +204,15 @@ def test_top_n_joined_retries_when_candidates_miss_the_dimension(spark):
     assert sorted(got) == sorted(want) == list(range(13, 23))
     few = top_n_joined(facts.filter("cid <= 3"), dim, "cid", order, 10, ["cid"]).collect()
     assert few == []            # all 3 candidates tried; none in the dimension
+
+
+def test_funnel_stages_are_independent_counts(spark):
+    """Stages count distinct customers per event type, not an ordered
+    funnel: more clickers than viewers gives a ratio above 100%."""
+    evs = [ev(1, T(2023, 1, 1), 1, "view"), ev(2, T(2023, 1, 1), 2, "click"),
+           ev(3, T(2023, 1, 1), 3, "click"), ev(4, T(2023, 1, 1), 3, "purchase")]
+    f = B.funnel(tables(spark, events=evs)).first()
+    assert (f.view_stage, f.click_stage, f.cart_stage, f.purchase_stage) == (1, 2, 0, 1)
+    assert f.view_to_click_pct == 200.0 and f.cart_to_purchase_pct is None
+    drops = {r.funnel_step: r for r in B.funnel_dropoff(tables(spark, events=evs)).collect()}
+    assert drops["view → click"].dropped == -1 and drops["view → click"].drop_off_pct == -100.0
