@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -13,9 +12,9 @@ SF_MEDIUM = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from basketry.session import local_session
+    from basketry.session import ensure_checkpoint_dir, local_session
     s = local_session(cores="4", shuffle_partitions=8, app="basketry-tests")
-    s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="basketry-test-ckpt-"))
+    ensure_checkpoint_dir(s)   # the configured spark.checkpoint.dir, or a scratch one if unset
     yield s
     s.stop()
 
