@@ -55,7 +55,7 @@ def revenue_concentration(t: Tables) -> DataFrame:
     tile vs the rest. Only the revenue buckets holding a tile boundary are
     sorted (``ntile_numeric``)."""
     tiles = ntile_numeric(t.sales.select("transaction_id", REV), L.REVENUE_TILES, REV, False,
-                          "transaction_id", "revenue_tile")
+                          "transaction_id", "revenue_tile", materialize=t.derived)
     segment = F.when(F.col("revenue_tile") == L.REVENUE_TILES, F.lit(L.TOP_5_PCT)) \
         .otherwise(F.lit(L.BOTTOM_95_PCT))
     seg = tiles.groupBy(segment.alias("segment")).agg(

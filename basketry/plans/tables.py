@@ -27,11 +27,17 @@ class Tables:
     reads. Nothing is computed until a query runs."""
 
     def __init__(self, customers: Source, products: Source, campaigns: Source,
-                 events: Source, transactions: Source, as_of: str = L.RFM_AS_OF):
+                 events: Source, transactions: Source, as_of: str = L.RFM_AS_OF,
+                 derived: bool = False):
         self._sources = {"customers": customers, "products": products,
                          "campaigns": campaigns, "events": events,
                          "transactions": transactions}
         self.as_of = as_of
+        # True when the raw tables are themselves computed (joins and
+        # aggregations, as in the fixture mapping): operators that read an
+        # input several times then materialize it once instead of re-deriving
+        # it; plain table scans are simply re-read.
+        self.derived = derived
         self.shared: dict[str, DataFrame] = {}
 
     def _raw(self, name: str) -> DataFrame:
@@ -48,7 +54,7 @@ class Tables:
 
     @classmethod
     def from_fixtures(cls, spark: SparkSession, sf_dir: str) -> Tables:
-        return cls(**fixtures.load(spark, sf_dir), as_of=FIXTURE_AS_OF)
+        return cls(**fixtures.load(spark, sf_dir), as_of=FIXTURE_AS_OF, derived=True)
 
     @classmethod
     def read(cls, spark: SparkSession, paths: dict[str, str], fmt: str = "parquet",

@@ -145,3 +145,23 @@ def test_sales_filter_and_pruning_reach_the_scan(spark, skewed):
     schema = plan[plan.find("ReadSchema: struct<"):].split(">")[0]
     assert "gross_revenue" in schema and "quantity" not in schema and "campaign_id" not in schema
     assert read_tables  # S2 reader used by Tables.read
+
+
+def test_revenue_tiles_and_percentiles_on_plain_scans(skewed):
+    """Tables read straight from files (not derived): B03 / E01 re-read the
+    scan instead of materializing it, with the same exact answers."""
+    t, paths = skewed
+    assert not t.derived
+    got = {r.segment: (r.total_transactions, r.total_revenue)
+           for r in B.revenue_concentration(t).collect()}
+    want = {seg: (n, float(v)) for seg, n, v in duck_rows(paths, """
+        SELECT CASE WHEN tile = 20 THEN 'Top 5%' ELSE 'Bottom 95%' END, count(*), round(sum(rev), 2)
+        FROM (SELECT rev, ntile(20) OVER (ORDER BY rev, transaction_id) AS tile
+              FROM tx WHERE refund_flag = 0)
+        GROUP BY 1""")}
+    assert got == want
+    e = E.revenue_distribution(t).first()
+    p50, p95 = duck_rows(paths, """SELECT round(quantile_cont(CAST(rev AS DOUBLE), 0.5), 2),
+                                          round(quantile_cont(CAST(rev AS DOUBLE), 0.95), 2)
+                                   FROM tx WHERE refund_flag = 0""")[0]
+    assert (e.p50_median, e.p95) == (p50, p95)
