@@ -101,3 +101,10 @@ def test_customer_joins_pre_aggregate(spark):
                   plan.find("SortMergeJoin") if "SortMergeJoin" in plan else 10**9)
     agg_below = plan.find("HashAggregate", join_at)
     assert agg_below > join_at
+
+
+def test_no_cross_join_anywhere(spark):
+    """No registered query plans a cartesian product or nested-loop join."""
+    for name in se.queries():
+        plan = plan_of(spark, name)
+        assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan, name
