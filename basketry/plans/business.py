@@ -235,12 +235,12 @@ def _product_rollup(t: Tables, tx: DataFrame, dims: list[str]) -> DataFrame:
     return per_product(tx).join(t.pr.select("product_id", *dims), "product_id")
 
 
-def _product_measures(zero_aov: bool = True):
-    aov_num, aov_den = ("sum_sale0", "n_sale0") if zero_aov else ("sum_rev", "n_rev")
+def _product_measures():
+    """Row count, net sales revenue, and AOV with refunds counted as 0."""
     return [
         F.sum("n_rows").alias("total_transactions"),
         round_half_up(F.sum("sum_sale0")).alias("net_revenue"),
-        round_half_up(ratio(F.sum(aov_num), F.sum(aov_den))).alias("avg_order_value"),
+        round_half_up(ratio(F.sum("sum_sale0"), F.sum("n_sale0"))).alias("avg_order_value"),
     ]
 
 
