@@ -12,6 +12,12 @@ and the checkpoint also cuts lineage so lost executors do not force a
 re-sort. Per-partition counts (one row per partition, bounded by the
 partition count) are prefix-summed and broadcast back to turn local
 positions into global 0-based ranks.
+
+The histogram operators further down (``ntile_numeric``,
+``percentiles_numeric``, ``ntile_small_domain``) avoid even that full sort:
+an exact histogram of value buckets places every bucket in the global
+order, and only the buckets holding a tile boundary or a needed percentile
+rank go through ``global_rank``.
 """
 
 from __future__ import annotations
