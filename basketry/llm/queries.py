@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from basketry.llm.decontaminate import contaminated
 from basketry.llm.exact_dedup import exact_dedup
 from basketry.llm.line_dedup import line_dedup
+from basketry.llm.near_dedup import near_groups
 from basketry.llm.packing import pack_documents
 from basketry.llm.quality import quality_scores
 from basketry.llm.sharding import shard_rows
@@ -57,6 +58,10 @@ def op5_line_dedup(spark, sf_dir):
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op6_near_dedup(spark, sf_dir):
+    return near_groups(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +71,7 @@ def op9_exact_dedup(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_decontamination, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup,
+    op1_decontamination, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_near_dedup,
     op7_quality, op9_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -95,6 +100,23 @@ g as (select c.*, f.first_doc is not null and f.first_doc <> c.doc_id as gone fr
 select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
 from g group by doc_id""",
+    "op6_near_dedup": f"""
+with recursive a as (select doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') as w
+           from documents),
+s as (select doc_id, case when len(w) = 0 then [] when len(w) < 2 then [w[1]]
+             else list_distinct([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) end as s from a),
+n as (select doc_id, len(s) as n_shingles, md5(list_sort(s)::varchar) as k from s),
+c as (select k, any_value(n_shingles) as n, min(doc_id) as rep from n where n_shingles > 0 group by k),
+e as (select c.rep as id, c.n, unnest(s.s) as g from c join s on s.doc_id = c.rep),
+p as (select x.id as i, y.id as j, count(*) as both, any_value(x.n) as n1, any_value(y.n) as n2
+      from e x join e y on x.g = y.g and x.id < y.id and 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n)
+      group by x.id, y.id having 100 * count(*) >= 80 * (any_value(x.n) + any_value(y.n) - count(*))),
+l as (select i, j from p union select j, i from p),
+r(id, root) as (select rep, rep from c union select l.j, r.root from r join l on r.id = l.i where r.root <= l.j),
+m as (select id, min(root) as component from r group by id)
+select n.doc_id, n_shingles, coalesce(m.component, n.doc_id) as component_id,
+       coalesce(m.component, n.doc_id) = n.doc_id as kept
+from n left join c on n.k = c.k and n_shingles > 0 left join m on m.id = c.rep""",
     "op9_exact_dedup": f"""
 with a as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
