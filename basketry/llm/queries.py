@@ -18,6 +18,7 @@ from basketry.llm.near_dedup import near_groups
 from basketry.llm.packing import pack_documents
 from basketry.llm.quality import quality_scores
 from basketry.llm.sharding import shard_rows
+from basketry.llm.substring_dedup import substring_dedup
 from basketry.llm.url_filter import url_verdicts
 from basketry.llm.workdir import ship_package
 
@@ -66,13 +67,17 @@ def op7_quality(spark, sf_dir):
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_substring_dedup(spark, sf_dir):
+    return substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_near_dedup,
-    op7_quality, op9_exact_dedup)}
+    op7_quality, op8_substring_dedup, op9_exact_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -117,6 +122,18 @@ m as (select id, min(root) as component from r group by id)
 select n.doc_id, n_shingles, coalesce(m.component, n.doc_id) as component_id,
        coalesce(m.component, n.doc_id) = n.doc_id as kept
 from n left join c on n.k = c.k and n_shingles > 0 left join m on m.id = c.rep""",
+    "op8_substring_dedup": """
+with a as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+b as (select doc_id, w, unnest(range(1, len(w) - 11)) as i from a),
+c as (select doc_id, i, md5(array_to_string(w[i:i + 12], ' ')) as k from b),
+f as (select k, min(doc_id) as first_doc from c group by k),
+g as (select distinct doc_id, unnest(range(i, i + 13)) as j from c join f using (k) where first_doc < doc_id),
+x as (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as j from a),
+y as (select x.doc_id, string_agg(word, ' ' order by x.j) filter (where g.j is null) as kept,
+             count(*) filter (where g.j is not null) as n_removed
+      from x left join g on g.doc_id = x.doc_id and g.j = x.j group by x.doc_id)
+select a.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
+from a left join y using (doc_id)""",
     "op9_exact_dedup": f"""
 with a as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
