@@ -19,6 +19,7 @@ from basketry.llm.packing import pack_documents
 from basketry.llm.quality import quality_scores
 from basketry.llm.sharding import shard_rows
 from basketry.llm.substring_dedup import substring_dedup
+from basketry.llm.suffix_dedup import suffix_dedup
 from basketry.llm.url_filter import url_verdicts
 from basketry.llm.workdir import ship_package
 
@@ -75,9 +76,13 @@ def op9_exact_dedup(spark, sf_dir):
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark, sf_dir):
+    return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_near_dedup,
-    op7_quality, op8_substring_dedup, op9_exact_dedup)}
+    op7_quality, op8_substring_dedup, op9_exact_dedup, op10_suffix_dedup)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -134,6 +139,24 @@ y as (select x.doc_id, string_agg(word, ' ' order by x.j) filter (where g.j is n
       from x left join g on g.doc_id = x.doc_id and g.j = x.j group by x.doc_id)
 select a.doc_id, len(w) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256
 from a left join y using (doc_id)""",
+    "op10_suffix_dedup": """
+with a as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+b as (select doc_id, h, unnest(range(0, len(h) // 2 - 199)) as i from a),
+c as (select doc_id, i, md5(substr(h, 2 * i + 1, 400)) as k from b),
+f as (select k from c group by k having count(*) > 1),
+g as (select doc_id, i from c semi join f using (k)),
+-- islands of windows that overlap or touch
+o as (select doc_id, i, i - lag(i) over (partition by doc_id order by i) as step from g),
+p as (select doc_id, i, count(*) filter (where step is null or step > 200) over (partition by doc_id order by i) as island from o),
+s as (select doc_id, min(i) as x, max(i) + 200 as y from p group by doc_id, island),
+t as (select doc_id, count(*) as n_spans, sum(y - x) as n_removed, list(x order by x) as xs, list(y order by x) as ys from s group by doc_id),
+u as (select a.doc_id, h, n_spans, n_removed, xs, ys, len(h) // 2 as n_bytes from a left join t using (doc_id))
+select doc_id, n_bytes, coalesce(n_removed, 0)::bigint as n_removed, coalesce(n_spans, 0) as n_spans,
+       sha256(unhex(case when n_spans is null then h else
+           array_to_string([substr(h, 2 * (case when k = 1 then 0 else ys[k - 1] end) + 1,
+                            2 * ((case when k > n_spans then n_bytes else xs[k] end) - (case when k = 1 then 0 else ys[k - 1] end)))
+                            for k in range(1, n_spans + 2)], '') end)) as kept_sha256
+from u""",
     "op9_exact_dedup": f"""
 with a as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
