@@ -84,7 +84,7 @@ def sketches(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     bucket = (mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)) % np.uint64(REGISTERS)).astype(np.int64)
     cell = doc * REGISTERS + bucket
     least = np.full(docs * REGISTERS, np.iinfo(np.uint64).max, np.uint64)
-    least[cell[::-1]] = shingles[::-1]          # ascending in each set: the smallest is written last
+    np.minimum.at(least, cell, shingles)
     full = np.zeros(docs * REGISTERS, bool)
     full[cell] = True
     least, full = least.reshape(docs, REGISTERS), full.reshape(docs, REGISTERS)
