@@ -1,28 +1,30 @@
 """Exact global ranking, NTILE and interpolated percentiles without a
-single-partition window.
+single-partition window and without sorting whole tables.
 
 ``ntile().over(Window.orderBy(...))`` and ``percentile`` over a whole table
-move every row (or every distinct value) into one task. Here the frame is
-range-partitioned on the full sort key (order columns plus a unique tie
-key, so even one value holding a third of the rows is split across many
-partitions), sorted inside each partition and numbered locally. The
-numbered frame is checkpointed to the cluster's shared checkpoint folder:
-the range bounds come from sampling, so the frame must be evaluated once,
-and the checkpoint also cuts lineage so lost executors do not force a
-re-sort. Per-partition counts (one row per partition, bounded by the
-partition count) are prefix-summed and broadcast back to turn local
-positions into global 0-based ranks.
-
-The histogram operators further down (``ntile_numeric``,
-``percentiles_numeric``, ``ntile_small_domain``) avoid even that full sort:
-an exact histogram of value buckets places every bucket in the global
-order, and only the buckets holding a tile boundary or a needed percentile
-rank go through ``global_rank``.
+move every row (or every distinct value) into one task. A tile or percentile
+only depends on the rows at a few ranks, so those are found first:
+
+* ``rows_at_ranks`` cuts each value's range into buckets at approximate
+  quantiles, counts the buckets exactly (partial aggregation, one bounded
+  result), and ranks only the rows of the buckets that hold a wanted rank.
+* ``ntile_labels`` asks for the first row of each tile, a (value, tie) pair,
+  and labels every row where it is by comparing it with at most k - 1 of them:
+  no row moves for the ranking.
+* ``percentiles`` asks for the values around each percentile. A bucket that
+  holds one value only (a hot value) needs no ranking.
+
+``global_rank`` numbers the rows of a frame: range-partitioned on the full sort
+key plus a unique tie key (one value holding a third of the rows is still
+split), sorted and numbered in each partition, checkpointed in the cluster's
+shared folder (range bounds come from sampling, so the frame must be evaluated
+once), with per-partition counts prefix-summed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -88,235 +90,160 @@ def global_rank(df: DataFrame, order: Sequence[Column], tie: Sequence[str],
             .drop("_part", "_pos", "_pos0", "_offset"))
 
 
-def ntile_of(rank: str | Column, total: str | Column, k: int) -> Column:
-    """NTILE(k) from a 0-based rank and the row count.
+# ---- rows at given ranks ----------------------------------------------------
 
-    The first ``total % k`` tiles hold one row more than the others, as in
-    SQL NTILE.
-    """
-    r = F.col(rank) if isinstance(rank, str) else rank
-    n = F.col(total) if isinstance(total, str) else total
-    q = F.floor(n / F.lit(k)).cast("bigint")
-    m = (n % F.lit(k)).cast("bigint")
-    big_rows = m * (q + 1)
-    tile = F.when(r < big_rows, F.floor(r / (q + 1))).otherwise(
-        m + F.floor((r - big_rows) / F.greatest(q, F.lit(1))))
-    return (tile + 1).cast("bigint")
-
-
-def ntile_exact(df: DataFrame, k: int, order: Sequence[Column], tie: Sequence[str],
-                out: str) -> DataFrame:
-    """``df`` plus column ``out`` = NTILE(k) OVER (ORDER BY order, tie)."""
-    ranked = global_rank(df, order, tie)
-    return ranked.withColumn(out, ntile_of(RANK, TOTAL, k)).drop(RANK, TOTAL)
-
-
-def percentile_aggs(value: str, ps: Mapping[str, float], rank: str = RANK,
-                    valid: str = VALID) -> list[Column]:
-    """Aggregate expressions over a frame ranked by ``value`` ascending with
-    NULLs last (``global_rank(..., count_non_null=value)``), giving
-    continuous percentiles of the non-null values: linear interpolation
-    between the values at positions floor and ceil of ``p * (N - 1)``,
-    ``N`` = number of non-null values."""
-    out = []
-    for name, p in ps.items():
-        row_pos = F.lit(float(p)) * (F.col(valid) - 1)
-        v_lo = F.max(F.when(F.col(rank) == F.floor(row_pos), F.col(value)))
-        v_hi = F.max(F.when(F.col(rank) == F.ceil(row_pos), F.col(value)))
-        pos = F.lit(float(p)) * (F.max(F.col(valid)) - 1)
-        out.append((v_lo + (v_hi - v_lo) * (pos - F.floor(pos))).alias(name))
-    return out
+# (column, descending): NULLs come first in ascending and last in descending order
+Key = tuple[str, bool]
+SKETCH_GROUPS = 1000
 
 
-def percentiles_exact(df: DataFrame, value: str, ps: Mapping[str, float],
-                      tie: Sequence[str]) -> DataFrame:
-    """One row of exact interpolated percentiles of ``value`` (as double)."""
-    ranked = global_rank(df.select(F.col(value).cast("double").alias("_v"), *tie),
-                         [F.col("_v").asc_nulls_last()], tie, count_non_null="_v")
-    return ranked.agg(*percentile_aggs("_v", ps))
-
-
-# ---- histogram-based exact NTILE / percentiles ------------------------------
-#
-# A full range sort moves every row. The tile of a row only depends on its
-# global rank, and a group of rows sharing a key (or a value bucket) occupies
-# one contiguous block of ranks. A histogram with one row per group (partial-
-# aggregated, so a hot group costs one row per task) gives every block its
-# start rank. Blocks that lie inside one tile are labelled map-side; only the
-# few blocks holding a tile boundary (at most k - 1) or a requested
-# percentile position are ranked row by row with ``global_rank``.
-
-def _before(descending: bool = False) -> Window:
-    order = F.col("_key").desc_nulls_last() if descending else F.col("_key").asc_nulls_first()
-    return Window.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-
-
-def _group_starts(hist: DataFrame, group: str, descending: bool = False) -> DataFrame:
-    """(group, _w) histogram -> (_key, _w, _start, _n): each group's first
-    global rank and the total row count. Runs on the small histogram."""
-    return hist.withColumnRenamed(group, "_key").select(
-        "_key", "_w",
-        F.coalesce(F.sum("_w").over(_before(descending)), F.lit(0)).alias("_start"),
-        F.sum("_w").over(Window.partitionBy()).alias("_n"))
-
-
-_HELPERS = ["_key", "_w", "_start", "_n", "_t_first", "_t_last", "_sub_start"]
-
-
-def _ntile_by_groups(df: DataFrame, k: int, group: str, descending: bool,
-                     within: Sequence[Column], tie: Sequence[str], out: str,
-                     hist: DataFrame) -> DataFrame:
-    """NTILE(k) over (group [DESC], within..., tie) given the checkpointed,
-    size-bounded histogram ``hist`` (group, _w) of ``df``."""
-    g_order = F.col(group).desc_nulls_last() if descending else F.col(group).asc_nulls_first()
-    h = _group_starts(hist, group, descending)
-    h = (h.withColumn("_t_first", ntile_of("_start", "_n", k))
-          .withColumn("_t_last", ntile_of(F.col("_start") + F.col("_w") - 1, "_n", k)))
-    straddles = F.col("_t_first") != F.col("_t_last")
-    h = h.withColumn("_sub_start", F.coalesce(
-        F.sum(F.when(straddles, F.col("_w")).otherwise(F.lit(0))).over(_before(descending)),
-        F.lit(0)))
-    # the histogram is bounded (checked by the caller): safe to broadcast
-    joined = df.join(F.broadcast(h), df[group].eqNullSafe(h["_key"]))
-    uniform = joined.filter(~straddles).withColumn(out, F.col("_t_first"))
-    to_sort = h.filter(straddles).agg(F.sum("_w")).first()[0] or 0
-    mixed = global_rank(joined.filter(straddles), [g_order, *within], tie,
-                        num_partitions=range_partitions(df.sparkSession, to_sort))
-    mixed = mixed.withColumn(
-        out, ntile_of(F.col("_start") + F.col(RANK) - F.col("_sub_start"), "_n", k))
-    return uniform.drop(*_HELPERS).unionByName(mixed.drop(*_HELPERS, RANK, TOTAL))
-
-
-def ntile_small_domain(df: DataFrame, k: int, key: str, descending: bool, tie: str, out: str,
-                       max_distinct: int = 200_000, materialize: bool = True) -> DataFrame:
-    """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY key [DESC], tie), exact,
-    for keys with few distinct values (day counts, purchase counts).
-
-    The key histogram is checkpointed and its size checked at run time: up
-    to ``max_distinct`` rows it is broadcast and only boundary groups are
-    sorted (by ``tie``; ``global_rank`` splits even a group holding most
-    rows). A larger histogram falls back to ``ntile_exact``.
-
-    ``df`` is read several times; with ``materialize`` it is checkpointed
-    first (pass False when it is already cheap to re-read).
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    if materialize:
-        df = df.checkpoint(eager=True)
-    hist = df.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
-    if hist.count() > max_distinct:
-        order = F.col(key).desc_nulls_last() if descending else F.col(key).asc_nulls_first()
-        return ntile_exact(df, k, [order], [tie], out)
-    return _ntile_by_groups(df, k, key, descending, [], [tie], out, hist)
-
-
-def approx_bounds(df: DataFrame, value: str, n_buckets: int = 256,
-                  accuracy: int = 1_000) -> list:
-    """At most ``n_buckets - 1`` distinct approximate quantiles of ``value``
-    (one bounded row to the driver). They only choose bucket edges:
-    results stay exact whatever their error. A modest ``accuracy`` keeps
-    each task's sketch small, so the single final merge of one sketch per
-    map task stays cheap on very wide jobs; bucket sizes still land within
-    about N/accuracy of N/n_buckets."""
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-    row = df.agg(F.percentile_approx(F.col(value), qs, accuracy).alias("_q")).first()
-    return sorted({x for x in (row["_q"] or []) if x is not None})
-
-
-def bucket_index(x: Column, bounds: Sequence) -> Column:
-    """Number of ``bounds`` <= x (non-decreasing in x) as a balanced CASE
-    tree. Fine for a handful of bounds; ``_bucketed`` uses Spark's
-    binary-search ``Bucketizer`` for hundreds."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(x < F.lit(bounds[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(bounds))
-
-
-def _bucketed(df: DataFrame, value: str, descending: bool, n_buckets: int,
-              accuracy: int) -> tuple[DataFrame, Column]:
-    """``df`` plus ``_o`` (the value, negated when descending) and ``_b``
-    (number of bucket edges <= ``_o``; NULLs first ascending, last
-    descending). Buckets are assigned JVM-side by binary search over the
-    edges (``pyspark.ml.feature.Bucketizer``). The edges are compared as
-    doubles, which keeps the bucket non-decreasing in the exact value."""
+def _exact_type(df: DataFrame, keys: Mapping[str, Key]) -> str:
+    types = [df.schema[c].dataType.simpleString() for c, _ in keys.values()]
+    return "double" if any(t in ("double", "float") for t in types) else "decimal(38,6)"
+
+
+def _bucketed(df: DataFrame, keys: Mapping[str, Key], n_buckets: int, accuracy: int) -> DataFrame:
+    """``df`` plus ``_b_<name>``: non-decreasing in the key's order.
+
+    Edges are approximate quantiles. Sketches are merged in two levels: over
+    at most SKETCH_GROUPS groups of tasks, then the groups' quantiles, so no
+    task merges one sketch per task of a wide job. They only choose the
+    buckets; all counts are exact."""
     from pyspark.ml.feature import Bucketizer
 
-    o = -F.col(value) if descending else F.col(value)
-    with_o = df.withColumn("_o", o)
-    edges = sorted({float(x) for x in approx_bounds(with_o, "_o", n_buckets, accuracy)})
-    null_bucket = len(edges) + 1 if descending else -1
-    if edges:
-        bucketizer = Bucketizer(splits=[float("-inf"), *edges, float("inf")],
-                                inputCol="_od", outputCol="_bz", handleInvalid="keep")
-        b = bucketizer.transform(
-            with_o.withColumn("_od", F.coalesce(F.col("_o").cast("double"), F.lit(0.0))))
-    else:   # no non-null values: one bucket
-        b = with_o.withColumn("_od", F.lit(0.0)).withColumn("_bz", F.lit(0.0))
-    b = b.withColumn("_b", F.when(F.col("_o").isNull(), F.lit(null_bucket))
-                     .otherwise(F.col("_bz").cast("int"))).drop("_od", "_bz")
-    within = F.col("_o").asc_nulls_last() if descending else F.col("_o").asc_nulls_first()
-    return b, within
-
-
-def ntile_numeric(df: DataFrame, k: int, value: str, descending: bool, tie: str, out: str,
-                  n_buckets: int = 256, accuracy: int = 1_000,
-                  materialize: bool = True) -> DataFrame:
-    """``df`` plus ``out`` = NTILE(k) OVER (ORDER BY value [DESC], tie), exact,
-    for numeric values of any cardinality, without a full sort.
-
-    Rows are bucketed by approximate quantile edges (at most ``n_buckets``
-    buckets, so the histogram is bounded by construction). Buckets inside a
-    tile are labelled map-side; only the buckets holding one of the
-    ``k - 1`` tile boundaries (about (k-1)/n_buckets of the rows, or a hot
-    value's bucket) are range-sorted. ``materialize`` as in
-    ``ntile_small_domain``.
-    """
-    ensure_checkpoint_dir(df.sparkSession)
-    if materialize:
-        df = df.checkpoint(eager=True)
-    b, within = _bucketed(df, value, descending, n_buckets, accuracy)
-    hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
-    return _ntile_by_groups(b, k, "_b", False, [within], [tie], out, hist).drop("_o", "_b")
-
-
-def percentiles_numeric(df: DataFrame, value: str, ps: Mapping[str, float], tie: Sequence[str],
-                        n_buckets: int = 256, accuracy: int = 1_000,
-                        materialize: bool = True) -> DataFrame:
-    """One row of exact continuous percentiles of the non-null ``value``
-    (as double), like ``percentiles_exact`` but sorting only the buckets
-    that hold the 2 * len(ps) needed ranks. ``materialize`` as in
-    ``ntile_small_domain``."""
+    sign = {n: -1.0 if desc else 1.0 for n, (_, desc) in keys.items()}
+    df = df.withColumns({f"_o_{n}": F.col(c).cast("double") * F.lit(sign[n]) for n, (c, _) in keys.items()})
+    qs = [i / n_buckets for i in range(1, n_buckets)]
+
+    def quantiles():
+        return [F.percentile_approx(f"_o_{n}", qs, accuracy).alias(f"_o_{n}") for n in keys]
+
+    groups = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_g")).agg(*quantiles())
+    values = groups.select(F.explode(F.arrays_zip(*[f"_o_{n}" for n in keys])).alias("z")).select("z.*")
+    found = values.agg(*quantiles()).first()
+    for n, (c, desc) in keys.items():
+        edges = sorted({x for x in (found[f"_o_{n}"] or []) if x is not None})
+        if edges:
+            buckets = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=f"_f_{n}", outputCol=f"_z_{n}",
+                                 handleInvalid="keep")
+            df = buckets.transform(df.withColumn(f"_f_{n}", F.coalesce(f"_o_{n}", F.lit(0.0)))).drop(f"_f_{n}")
+        else:
+            df = df.withColumn(f"_z_{n}", F.lit(0.0))
+        df = df.withColumn(f"_b_{n}", F.when(F.col(f"_o_{n}").isNull(), F.lit(len(edges) + 1 if desc else -1))
+                           .otherwise(F.col(f"_z_{n}").cast("int"))).drop(f"_z_{n}")
+    return df
+
+
+def rows_at_ranks(df: DataFrame, keys: Mapping[str, Key], tie: str,
+                  wanted: Callable[[str, int, int], Sequence[int]], need_tie: bool = True,
+                  n_buckets: int = 256, accuracy: int = 1_000) -> dict[str, dict[int, tuple]]:
+    """For each key the (value, tie) of the rows at the 0-based ranks that
+    ``wanted(name, rows, nulls)`` names, in the order (value, tie ascending).
+
+    ``df`` is read several times: pass a stored frame. Without ``need_tie``
+    only the values are exact."""
+    b = _bucketed(df, keys, n_buckets, accuracy)
+    cells = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"_b_{n}").alias("b"), F.col(f"_o_{n}").alias("o")) for n in keys])
+    counts = (b.select(F.explode(cells).alias("c")).groupBy("c.k", "c.b")
+              .agg(F.count(F.lit(1)).alias("n"), F.min("c.o").alias("lo"), F.max("c.o").alias("hi"))
+              .select("k", "b", "n", "lo", "hi").collect())     # at most n_buckets + 1 rows a key
+    out: dict[str, dict[int, tuple]] = {n: {} for n in keys}
+    to_sort, ranks, offset = [], [], 0
+    for n, (_, desc) in keys.items():
+        cells_ = sorted((c for c in counts if c["k"] == n), key=lambda c: c["b"])
+        total = sum(c["n"] for c in cells_)
+        nulls = sum(c["n"] for c in cells_ if c["lo"] is None)
+        asked = sorted({r for r in wanted(n, total, nulls) if 0 <= r < total})
+        start = 0
+        for c in cells_:
+            mine = [r for r in asked if start <= r < start + c["n"]]
+            if mine and not need_tie and c["lo"] == c["hi"]:
+                value = None if c["lo"] is None else -c["lo"] if desc else c["lo"]
+                out[n].update({r: (value, None) for r in mine})
+            elif mine:
+                to_sort.append((n, c["b"]))
+                ranks += [(offset + r - start, n, r) for r in mine]
+                offset += c["n"]
+            start += c["n"]
+    if not to_sort:
+        return out
+    kind = _exact_type(df, keys)
+    picked = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_b_{n}").alias("b"),
+                                F.col(c).cast(kind).alias("v"),
+                                (F.col(c).cast(kind) * F.lit(-1 if desc else 1)).alias("o"))
+                       for i, (n, (c, desc)) in enumerate(keys.items())])
+    names = list(keys)
+    needed = F.lit(False)
+    for n, bucket in to_sort:
+        needed = needed | ((F.col("c.k") == names.index(n)) & (F.col("c.b") == bucket))
+    rows = b.select(F.explode(picked).alias("c"), F.col(tie).alias("t")).where(needed).select("c.k", "c.b", "c.v", "c.o", "t")
+    placed = global_rank(rows, [F.col("k").asc(), F.col("b").asc(), F.col("o").asc_nulls_first()], ["t"],
+                         num_partitions=range_partitions(df.sparkSession, offset))
+    found = {r[RANK]: r for r in placed.where(F.col(RANK).isin([x[0] for x in ranks])).collect()}
+    for at, n, r in ranks:
+        out[n][r] = (found[at]["v"], found[at]["t"])
+    return out
+
+
+def tile_start(tile: int, rows: int, k: int) -> int:
+    """0-based rank of the first row of NTILE(k)'s 1-based ``tile``."""
+    return (tile - 1) * (rows // k) + min(tile - 1, rows % k)
+
+
+def _from_cut(key: Key, tie: str, cut: tuple) -> Column:
+    """Whether a row stands at or after ``cut`` in the order (value, tie)."""
+    column, descending = key
+    value, at = cut
+    v, t = F.col(column), F.col(tie)
+    same = F.lit(True) if at is None else F.coalesce(t >= F.lit(at), F.lit(False))
+    if value is None:
+        return F.when(v.isNull(), same).otherwise(F.lit(not descending))
+    lit = F.lit(value)
+    after = (v < lit) if descending else (v > lit)
+    return F.when(v.isNull(), F.lit(descending)).otherwise(after | ((v == lit) & same))
+
+
+def ntile_labels(df: DataFrame, k: int, keys: Mapping[str, Key], tie: str,
+                 tiles: Sequence[int] | None = None, n_buckets: int = 256) -> DataFrame:
+    """``df`` plus, for each key, a column with NTILE(k) OVER (ORDER BY value,
+    tie), exact. With ``tiles`` only the boundaries where these tiles start
+    are looked up, and the label counts the boundaries passed.
+
+    ``tie`` must be unique. ``df`` is checkpointed once and read a few times;
+    its rows are labelled in place."""
     ensure_checkpoint_dir(df.sparkSession)
-    v = (df.select(F.col(value).cast("double").alias("_v"), *tie)
-         .filter(F.col("_v").isNotNull()))
-    if materialize:
-        v = v.checkpoint(eager=True)
-    b, within = _bucketed(v, "_v", False, n_buckets, accuracy)
-    hist = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_w")).checkpoint(eager=True)
-    h = _group_starts(hist, "_b")
-    end = F.col("_start") + F.col("_w")
-    need = F.lit(False)
-    for p in ps.values():
-        pos = F.lit(float(p)) * (F.col("_n") - 1)
-        for r in (F.floor(pos), F.ceil(pos)):
-            need = need | ((r >= F.col("_start")) & (r < end))
-    h = h.withColumn("_need", need).withColumn("_sub_start", F.coalesce(
-        F.sum(F.when(F.col("_need"), F.col("_w")).otherwise(F.lit(0))).over(_before()), F.lit(0)))
-    needed = h.filter("_need")
-    to_sort = needed.agg(F.sum("_w")).first()[0] or 0
-    rows = b.join(F.broadcast(needed), b["_b"] == F.col("_key"))
-    ranked = global_rank(rows, [F.col("_b").asc(), within], tie,
-                         num_partitions=range_partitions(df.sparkSession, to_sort))
-    ranked = ranked.withColumn("_g", F.col("_start") + F.col(RANK) - F.col("_sub_start"))
-    out = []
-    n = F.max(F.col("_n"))
+    stored = df.checkpoint(eager=True)
+    tiles = list(tiles or range(2, k + 1))
+
+    def starts(_, rows, nulls):
+        return [tile_start(j, rows, k) for j in tiles]
+
+    cuts = rows_at_ranks(stored, keys, tie, starts, n_buckets=n_buckets)
+    labels = {}
+    for out, key in keys.items():
+        passed = [_from_cut(key, tie, cut).cast("bigint") for cut in cuts[out].values()]
+        labels[out] = sum(passed, F.lit(1).cast("bigint"))
+    return stored.withColumns(labels)
+
+
+def percentiles(df: DataFrame, value: str, ps: Mapping[str, float], tie: str,
+                n_buckets: int = 256) -> dict[str, float | None]:
+    """Exact continuous percentiles of the non-null values: linear
+    interpolation between the values at floor and ceil of ``p * (N - 1)``."""
+    sizes = {}
+
+    def around(name, rows, nulls):
+        n = sizes["n"] = rows - nulls
+        sizes["nulls"] = nulls
+        return [nulls + f(p * (n - 1)) for p in ps.values() for f in (math.floor, math.ceil)] if n else []
+
+    found = rows_at_ranks(df.select(value, tie), {"v": (value, False)}, tie, around, need_tie=False, n_buckets=n_buckets)["v"]
+    out: dict[str, float | None] = {}
     for name, p in ps.items():
-        row_pos = F.lit(float(p)) * (F.col("_n") - 1)
-        v_lo = F.max(F.when(F.col("_g") == F.floor(row_pos), F.col("_v")))
-        v_hi = F.max(F.when(F.col("_g") == F.ceil(row_pos), F.col("_v")))
-        pos = F.lit(float(p)) * (n - 1)
-        out.append((v_lo + (v_hi - v_lo) * (pos - F.floor(pos))).alias(name))
-    return ranked.agg(*out)
+        if not sizes.get("n"):
+            out[name] = None
+            continue
+        pos = p * (sizes["n"] - 1)
+        lo, hi = (float(found[sizes["nulls"] + f(pos)][0]) for f in (math.floor, math.ceil))
+        out[name] = lo + (hi - lo) * (pos - math.floor(pos))
+    return out

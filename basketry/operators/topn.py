@@ -1,49 +1,20 @@
-"""Top-n with a deterministic tie-break, and top-n of facts joined to a
-dimension without joining every fact row."""
+"""Top-n of facts joined to a dimension."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from basketry.session import ensure_checkpoint_dir
-
-
-def top_n(df: DataFrame, order: Sequence[Column], n: int) -> DataFrame:
-    """First ``n`` rows by ``order`` (which should end with a unique key).
-
-    Planned as TakeOrderedAndProject: every task keeps its own top ``n``,
-    so only ``n`` rows per task reach the final merge.
-    """
-    return df.orderBy(*order).limit(n)
 
 
 def top_n_joined(facts: DataFrame, dim: DataFrame, on: str, order: Sequence[Column], n: int,
                  columns: Sequence[str | Column]) -> DataFrame:
-    """First ``n`` rows by ``order`` of ``facts`` INNER JOIN ``dim`` USING
-    ``on``, without joining every fact row.
+    """First ``n`` rows by ``order`` (ending with a unique key) of ``facts``
+    INNER JOIN ``dim`` USING ``on``.
 
-    ``order`` must use only ``facts`` columns and end with ``on``. The top
-    ``k`` fact rows (k = n first) are taken per task and merged
-    (TakeOrderedAndProject), checkpointed (k rows), and broadcast into a
-    scan of the dimension: no shuffle of either large side. A fact row
-    outside the candidates ranks after every candidate, so the answer is
-    exact once the joined candidates give ``n`` rows or all fact rows were
-    candidates. Otherwise (candidate keys missing from the dimension), it
-    retries with four times as many candidates from the materialized facts.
+    One lazy plan: ``facts`` is an aggregate by ``on``, so it is hashed on
+    the join key already and only the dimension moves (or is broadcast, if
+    Spark finds it small); the limit is TakeOrderedAndProject, ``n`` rows a
+    task.
     """
-    ensure_checkpoint_dir(facts.sparkSession)
-    k = n
-    while True:
-        cand = facts.orderBy(*order).limit(k).checkpoint(eager=True)
-        n_cand = cand.count()
-        # at most k rows: bounded broadcast
-        top = (dim.join(F.broadcast(cand), on).select(*columns)
-               .orderBy(*order).limit(n).checkpoint(eager=True))
-        if n_cand < k or top.count() >= n:
-            return top
-        if k == n:
-            facts = facts.checkpoint(eager=True)
-        k *= 4
+    return facts.join(dim, on).select(*columns).orderBy(*order).limit(n)

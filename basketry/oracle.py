@@ -80,7 +80,7 @@ events_raw AS (
          CASE WHEN event_id % 11 < 2 THEN 'Organic' WHEN event_id % 11 < 4 THEN 'Paid Search'
               WHEN event_id % 11 < 6 THEN 'Email' WHEN event_id % 11 < 8 THEN 'Direct'
               ELSE 'Social' END AS traffic_source,
-         CASE WHEN event_id % 3 = 0 THEN event_id % 7 END AS campaign_id,
+         CASE WHEN event_id % 3 = 0 THEN user_id END AS campaign_id,
          CASE event_id % 4 WHEN 0 THEN 'home' WHEN 1 THEN 'category' WHEN 2 THEN 'product'
                            ELSE 'cart' END AS page_category
   FROM events
@@ -96,7 +96,7 @@ transactions_raw AS (
          CAST(la.md * 3 AS DECIMAL(6,2)) AS discount_applied,
          CAST(CASE WHEN o.o_orderstatus = 'P' THEN -o.o_totalprice ELSE o.o_totalprice END
               AS DECIMAL(18,2)) AS gross_revenue,
-         CASE WHEN o.o_orderkey % 2 = 0 THEN la.ms % 10 END AS campaign_id,
+         CASE WHEN o.o_orderkey % 2 = 0 THEN la.ms END AS campaign_id,
          CASE WHEN o.o_orderstatus = 'P' THEN 1 ELSE 0 END AS refund_flag
   FROM orders o LEFT JOIN line_agg la ON o.o_orderkey = la.l_orderkey
 ),
@@ -564,8 +564,8 @@ FROM (SELECT m.month, m.revenue,
         f"""SELECT COUNT(*) AS campaigns_evaluated,
        COUNT(*) FILTER (WHERE hit) AS campaigns_met_target,
        {PCT('COUNT(*) FILTER (WHERE hit)', 'COUNT(*)')} AS attainment_pct
-FROM (SELECT {PCT('pc.converted_customers', 'pc.exposed_customers')}
-               >= CAST(c.expected_uplift AS DOUBLE) * 100 AS hit
+FROM (SELECT pc.converted_customers * 1000
+               >= CAST(c.expected_uplift * 1000 AS BIGINT) * pc.exposed_customers AS hit
       FROM campaigns_clean c JOIN per_campaign pc USING (campaign_id))""", PER_CAMPAIGN),
     "bounced_never_purchased": q(
         f"""SELECT b AS total_bounced, bn AS bounced_never_purchased,

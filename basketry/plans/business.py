@@ -11,7 +11,7 @@ from basketry.functions.scalar import (as_double, count_if, days_between, mean,
                                        pct_raw, product_type, purchase_band, ratio, round_half_up,
                                        sum_if)
 from basketry.operators.flags import conversion_by, distinct_with_flags, stage_flags
-from basketry.operators.ranking import ntile_numeric
+from basketry.operators.ranking import ntile_labels
 from basketry.operators.sequence import nth_event_gap, with_previous
 from basketry.operators.shares import share_of_total
 from basketry.operators.topn import top_n_joined
@@ -52,12 +52,10 @@ def gross_vs_refunds(t: Tables) -> DataFrame:
 @entry("B03", "revenue_concentration")
 def revenue_concentration(t: Tables) -> DataFrame:
     """NTILE(20) of sales by revenue (exact; ties by transaction_id): top
-    tile vs the rest. Only the revenue buckets holding a tile boundary are
-    sorted (``ntile_numeric``)."""
-    tiles = ntile_numeric(t.sales.select("transaction_id", REV), L.REVENUE_TILES, REV, False,
-                          "transaction_id", "revenue_tile", materialize=t.derived)
-    segment = F.when(F.col("revenue_tile") == L.REVENUE_TILES, F.lit(L.TOP_5_PCT)) \
-        .otherwise(F.lit(L.BOTTOM_95_PCT))
+    tile vs the rest. Only the first row of the top tile is looked up."""
+    tiles = ntile_labels(t.sales.select("transaction_id", REV), L.REVENUE_TILES,
+                         {"_top": (REV, False)}, "transaction_id", tiles=[L.REVENUE_TILES])
+    segment = F.when(F.col("_top") == 2, F.lit(L.TOP_5_PCT)).otherwise(F.lit(L.BOTTOM_95_PCT))
     seg = tiles.groupBy(segment.alias("segment")).agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.sum(REV).alias("_rev"))
@@ -112,16 +110,15 @@ def second_purchase_gaps(t: Tables) -> DataFrame:
 
 @entry("B07", "days_to_second_stats")
 def days_to_second_stats(t: Tables) -> DataFrame:
-    """Mean / min / max / median days to the second purchase. Day gaps have
-    a small domain (bounded by the calendar), so the exact ``percentile``
-    aggregate holds at most one counter per distinct gap."""
-    gaps = second_purchase_gaps(t)
+    """Mean / min / max / median days to the second purchase, over the
+    histogram of gaps (V05, one row per day count)."""
     d = F.col("days_to_second_purchase")
+    gaps = second_purchase_gaps(t).groupBy(d).agg(F.count(F.lit(1)).alias("_n"))
     return gaps.agg(
-        round_half_up(mean(d), 1).alias("avg_days"),
+        round_half_up(ratio(F.sum(d * F.col("_n")), F.sum(F.when(d.isNotNull(), F.col("_n")))), 1).alias("avg_days"),
         F.min(d).alias("min_days"),
         F.max(d).alias("max_days"),
-        round_half_up(F.percentile(d.cast("double"), F.lit(0.5)), 1).alias("median_days"))
+        round_half_up(F.percentile(d.cast("double"), F.lit(0.5), F.col("_n")), 1).alias("median_days"))
 
 
 @entry("B08", "revenue_by_frequency")
@@ -153,16 +150,28 @@ def loyalty_retention(t: Tables) -> DataFrame:
 @entry("B10", "channel_performance")
 def channel_performance(t: Tables) -> DataFrame:
     """All transactions (refunds included) attributed to a campaign, by
-    channel. The campaign dimension is small; Spark broadcasts it when its
-    size estimate is under the broadcast threshold and falls back to a
-    shuffle join otherwise."""
-    joined = t.tx.join(t.ca.select("campaign_id", "channel"), "campaign_id")
+    channel. Facts are reduced to (campaign, transaction) before they meet
+    the campaigns."""
+    return (_per_campaign(t.tx, "transaction_id").join(t.ca.select("campaign_id", "channel"), "campaign_id")
+            .groupBy("channel", "transaction_id").agg(*_summed())
+            .groupBy("channel").agg(
+                F.count("transaction_id").alias("total_transactions"),
+                round_half_up(F.sum("_sales")).alias("net_revenue"),
+                round_half_up(ratio(F.sum("_rev"), F.sum("_n_rev"))).alias("avg_order_value"),
+                pct(F.sum("_refunds"), F.sum("_rows")).alias("refund_rate_pct")))
+
+
+def _per_campaign(tx: DataFrame, key: str) -> DataFrame:
+    """Transactions with a campaign, summed by campaign and ``key``: a hot
+    campaign is spread over its keys."""
     sale_or_zero = F.when(F.col("refund_flag") == L.SALE, F.col(REV)).otherwise(F.lit(0))
-    return joined.groupBy("channel").agg(
-        F.countDistinct("transaction_id").alias("total_transactions"),
-        round_half_up(F.sum(sale_or_zero)).alias("net_revenue"),
-        round_half_up(mean(REV)).alias("avg_order_value"),
-        pct(F.sum(F.col("refund_flag").cast("int")), F.count(F.lit(1))).alias("refund_rate_pct"))
+    return tx.where(F.col("campaign_id").isNotNull()).groupBy("campaign_id", key).agg(
+        F.sum(REV).alias("_rev"), F.count(REV).alias("_n_rev"), F.sum(sale_or_zero).alias("_sales"),
+        F.sum(F.col("refund_flag").cast("int")).alias("_refunds"), F.count(F.lit(1)).alias("_rows"))
+
+
+def _summed() -> list[F.Column]:
+    return [F.sum(c).alias(c) for c in ("_rev", "_n_rev", "_sales", "_refunds", "_rows")]
 
 
 def campaign_conversion(t: Tables) -> DataFrame:
@@ -203,12 +212,20 @@ def uplift_vs_conversion_points(t: Tables) -> DataFrame:
 
 @entry("B13", "objective_performance")
 def objective_performance(t: Tables) -> DataFrame:
-    joined = t.sales.join(t.ca.select("campaign_id", "objective"), "campaign_id")
-    return joined.groupBy("objective").agg(
-        F.countDistinct("transaction_id").alias("total_transactions"),
-        round_half_up(F.sum(REV)).alias("gross_revenue_clean"),
-        round_half_up(mean(REV)).alias("avg_order_value"),
-        F.countDistinct("customer_id").alias("unique_customers"))
+    """Sales by campaign objective. Distinct transactions and customers are
+    counted after one aggregation each by (campaign, id); no row is expanded."""
+    ca = t.ca.select("campaign_id", "objective")
+    sums = (_per_campaign(t.sales, "transaction_id").join(ca, "campaign_id")
+            .groupBy("objective", "transaction_id").agg(*_summed())
+            .groupBy("objective").agg(
+                F.count("transaction_id").alias("total_transactions"),
+                round_half_up(F.sum("_rev")).alias("gross_revenue_clean"),
+                round_half_up(ratio(F.sum("_rev"), F.sum("_n_rev"))).alias("avg_order_value")))
+    customers = (t.sales.where(F.col("campaign_id").isNotNull()).select("campaign_id", "customer_id").distinct()
+                 .join(ca, "campaign_id").select("objective", "customer_id").distinct()
+                 .groupBy("objective").agg(F.count("customer_id").alias("unique_customers")))
+    # one row per objective on both sides
+    return sums.join(customers.withColumnRenamed("objective", "_o"), F.col("objective").eqNullSafe(F.col("_o"))).drop("_o")
 
 
 @entry("B14", "exposure_effect")
@@ -256,9 +273,7 @@ def category_performance(t: Tables) -> DataFrame:
 
 @entry("B16", "top_products")
 def top_products(t: Tables) -> DataFrame:
-    """Top 10 products by sales revenue (ties by product_id). Candidates
-    come from the per-product aggregate; only they meet the product
-    dimension (``top_n_joined``)."""
+    """Top 10 products by sales revenue (ties by product_id)."""
     per = per_product(t.sales).select(
         "product_id",
         F.col("n_tx").alias("total_transactions"),
@@ -321,9 +336,7 @@ def rfm_summary_inverted(t: Tables) -> DataFrame:
 
 @entry("B21", "top_customers")
 def top_customers(t: Tables) -> DataFrame:
-    """Top 10 customers by sales revenue (ties by customer_id) with profile.
-    Candidates come from the per-customer aggregate; only they meet the
-    customer dimension (``top_n_joined``)."""
+    """Top 10 customers by sales revenue (ties by customer_id) with profile."""
     per = sales_per_customer(t).select(
         "customer_id",
         F.col("n_rows").alias("total_purchases"),

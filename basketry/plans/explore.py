@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from basketry.functions.scalar import (age_group, as_double, mean, month_key, pct,
                                        product_type, purchase_band, ratio, round_half_up,
                                        weekday_name, weekday_number)
-from basketry.operators.ranking import percentiles_numeric
+from basketry.operators.ranking import percentiles
 from basketry.operators.shares import share_of_total
 from basketry.plans.catalog import entry
 from basketry.plans.tables import Tables
@@ -88,30 +88,22 @@ def per_product(tx: DataFrame) -> DataFrame:
 @entry("E01", "revenue_distribution")
 def revenue_distribution(t: Tables) -> DataFrame:
     """Count, min, max, mean, sample stddev (one aggregate) and exact
-    p25/p50/p75/p95 of sales revenue (``percentiles_numeric``: only the
-    value buckets holding the needed ranks are sorted). The two one-row
-    results are merged with a union and max, not a join."""
-    # the aggregate and the percentile passes (quantile edges, histogram,
-    # boundary buckets) all read the narrow sales: stored once when the
-    # tables are derived, otherwise re-read from the column-pruned scan
-    sales = t.sales.select("transaction_id", REV)
-    if t.derived:
-        ensure_checkpoint_dir(sales.sparkSession)
-        sales = sales.checkpoint(eager=True)
-    stats = sales.agg(F.count(F.lit(1)).alias("total_transactions"),
-                      F.min(REV).alias("_min"), F.max(REV).alias("_max"),
-                      mean(REV).alias("_avg"), F.stddev_samp(REV).alias("_sd"))
-    ps = {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95}
-    pcts = percentiles_numeric(sales, REV, ps, ["transaction_id"], materialize=False)
-    one = stats.unionByName(pcts, allowMissingColumns=True).agg(
-        *[F.max(c).alias(c) for c in [*stats.columns, *ps]])
+    p25/p50/p75/p95 of sales revenue (``percentiles``: only the buckets
+    holding the needed ranks are sorted). The narrow sales are stored once;
+    the aggregate and the percentile passes read that copy."""
+    ensure_checkpoint_dir(t.sales.sparkSession)
+    sales = t.sales.select("transaction_id", REV).checkpoint(eager=True)
+    ps = percentiles(sales, REV, {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95}, "transaction_id")
+    one = sales.agg(F.count(F.lit(1)).alias("total_transactions"),
+                    F.min(REV).alias("_min"), F.max(REV).alias("_max"),
+                    mean(REV).alias("_avg"), F.stddev_samp(REV).alias("_sd"))
     return one.select(
         "total_transactions",
         round_half_up("_min").alias("min_revenue"),
         round_half_up("_max").alias("max_revenue"),
         round_half_up("_avg").alias("avg_revenue"),
         round_half_up("_sd").alias("stddev_revenue"),
-        *[round_half_up(name).alias(name) for name in ps])
+        *[round_half_up(F.lit(x).cast("double")).alias(name) for name, x in ps.items()])
 
 
 @entry("E02", "quantity_distribution")
@@ -203,10 +195,16 @@ def session_identity_check(t: Tables) -> DataFrame:
     """Distinct sessions, customers and session/customer pairs. The pair key
     is the two ids written one after the other (NULL as empty), so (1, 11)
     and (11, 1) count as one pair — kept as specified."""
-    pair = F.concat_ws("", F.col("session_id").cast("string"), F.col("customer_id").cast("string"))
-    return t.ev.agg(F.countDistinct("session_id").alias("unique_sessions"),
-                    F.countDistinct("customer_id").alias("unique_customers"),
-                    F.countDistinct(pair).alias("unique_combinations"))
+    session, customer = F.col("session_id"), F.col("customer_id")
+    pairs = t.ev.select(session, customer).distinct()
+    key = F.concat_ws("", session.cast("string"), customer.cast("string"))
+    # three counts over the distinct pairs, each grouped by its own key
+    sessions = pairs.where(session.isNotNull()).groupBy(session).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("unique_sessions"))
+    customers = pairs.where(customer.isNotNull()).groupBy(customer).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("unique_customers"))
+    combinations = pairs.groupBy(key.alias("_pair")).agg(F.lit(1)).agg(F.count(F.lit(1)).alias("unique_combinations"))
+    names = ["unique_sessions", "unique_customers", "unique_combinations"]
+    rows = sessions.unionByName(customers, allowMissingColumns=True).unionByName(combinations, allowMissingColumns=True)
+    return rows.agg(*[F.max(n).alias(n) for n in names])
 
 
 # ---- 4. correlations ----------------------------------------------------------

@@ -10,7 +10,7 @@ from basketry.functions import labels as L
 from basketry.functions.scalar import (age_group, as_double, days_between, flag, month_key,
                                        ratio, round_half_up)
 from basketry.operators.flags import stage_flags
-from basketry.operators.ranking import RANK, TOTAL, global_rank, ntile_of, range_partitions
+from basketry.operators.ranking import ntile_labels
 from basketry.operators.sequence import nth_event_gap
 from basketry.plans.catalog import entry
 from basketry.plans.explore import sales_per_customer
@@ -42,30 +42,14 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
 
     Every tile order ends with customer_id ascending so ties are
     deterministic. ``invert=True`` reverses all three orders (best
-    customers score 1) but keeps the labels. The ranked frame is the
-    per-customer aggregate (far smaller than the fact), so each tile is an
-    exact distributed range-sort pass (``global_rank``; the tie key splits
-    a hot value across partitions), the later passes sized from the exact
-    customer count of the first. Each pass carries the earlier scores
-    along, so no joins between passes are needed.
+    customers score 1) but keeps the labels. The at most three cut points
+    (value, customer_id) of each score are looked up exactly
+    (``ntile_labels``); customers are then labelled in place, so none is
+    shuffled or sorted for the ranking.
     """
-    k = L.RFM_TILES
-    recency = F.col("recency_days")
-    frequency = F.col("frequency")
-    monetary = F.col("monetary")
-    if not invert:
-        orders = [recency.desc_nulls_last(), frequency.asc_nulls_first(), monetary.asc_nulls_first()]
-    else:
-        orders = [recency.asc_nulls_first(), frequency.desc_nulls_last(), monetary.desc_nulls_last()]
-    scored = rfm_base(t)
-    n_parts = None   # first pass: session default; then sized from the exact count
-    for out, order in zip(["r_score", "f_score", "m_score"], orders):
-        ranked = global_rank(scored, [order], ["customer_id"], num_partitions=n_parts)
-        scored = ranked.withColumn(out, ntile_of(RANK, TOTAL, k))
-        if n_parts is None:
-            first = scored.select(TOTAL).first()
-            n_parts = range_partitions(scored.sparkSession, first[0] if first else 0)
-        scored = scored.drop(RANK, TOTAL)
+    scored = ntile_labels(rfm_base(t), L.RFM_TILES,
+                          {"r_score": ("recency_days", not invert), "f_score": ("frequency", invert),
+                           "m_score": ("monetary", invert)}, "customer_id")
     total = F.col("r_score") + F.col("f_score") + F.col("m_score")
     return scored.select("customer_id", "recency_days", "frequency", "monetary",
                          "r_score", "f_score", "m_score", total.alias("rfm_total"),
@@ -131,6 +115,12 @@ def days_to_second_purchase(t: Tables) -> DataFrame:
     return gaps.groupBy("days_to_second_purchase").agg(F.count(F.lit(1)).alias("total_customers"))
 
 
+def mart_views(t: Tables) -> dict[str, DataFrame]:
+    """The five cleaned frames and the five marts by view name, for
+    ``register_views``. RFM cut points are computed when this is called."""
+    return t.views() | build_marts(t)
+
+
 MARTS = ["rfm_segments", "cohort_analysis", "funnel_customers", "customer_summary",
          "days_to_second_purchase"]
 

@@ -47,10 +47,11 @@ def same_month_yoy(t: Tables) -> DataFrame:
 
 @entry("R3", "campaign_target_attainment")
 def campaign_target_attainment(t: Tables) -> DataFrame:
-    """Campaigns whose conversion % reached their expected uplift (x100)."""
+    """Campaigns whose conversion reached their expected uplift, compared
+    exactly: converted >= uplift x exposed in decimals, nothing rounded."""
     cc = t.ca.join(campaign_conversion(t), "campaign_id")
-    conv = pct("converted_customers", "exposed_customers")
-    met = conv >= F.col("expected_uplift").cast("double") * 100
+    met = F.col("converted_customers").cast("decimal(20,0)") >= (
+        F.col("expected_uplift").cast("decimal(6,3)") * F.col("exposed_customers").cast("decimal(20,0)"))
     return cc.agg(F.count(F.lit(1)).alias("campaigns_evaluated"),
                   count_if(met).alias("campaigns_met_target"),
                   pct(count_if(met), F.count(F.lit(1))).alias("attainment_pct"))

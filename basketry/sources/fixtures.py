@@ -113,7 +113,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
          .when(source_slot < 6, F.lit("Email"))
          .when(source_slot < 8, F.lit("Direct"))
          .otherwise(F.lit("Social")).alias("traffic_source"),
-        F.when(eid % 3 == 0, eid % 7).alias("campaign_id"),
+        F.when(eid % 3 == 0, F.col("user_id")).alias("campaign_id"),
         _pick(eid % 4, PAGE_CATEGORIES).alias("page_category"))
 
 
@@ -141,7 +141,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("_disc") * 3).cast("decimal(6,2)").alias("discount_applied"),
                     F.when(refund, -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
                      .cast("decimal(18,2)").alias("gross_revenue"),
-                    F.when(okey % 2 == 0, F.col("_supp") % 10).alias("campaign_id"),
+                    F.when(okey % 2 == 0, F.col("_supp")).alias("campaign_id"),
                     F.when(refund, F.lit(1)).otherwise(F.lit(0)).alias("refund_flag")))
 
 

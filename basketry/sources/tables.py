@@ -7,6 +7,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry.schemas import RAW_SCHEMAS
 
@@ -15,20 +16,28 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     """Read one raw table with its fixed schema.
 
     ``fmt="csv"``: header row, comma separated, ISO dates
-    (``yyyy-MM-dd``) and timestamps; the schema is applied while parsing, so
-    there is no inference pass. ``fmt="parquet"``: columns are selected and
+    (``yyyy-MM-dd``) and timestamps. Columns are found by their header names,
+    in any order, and typed while parsing (no inference pass); a missing
+    column raises, further ones are ignored, and a file whose header differs
+    from the first one's fails. ``fmt="parquet"``: columns are selected and
     cast to the fixed schema, which keeps column pruning and filter
     pushdown intact.
     """
     schema = RAW_SCHEMAS[name]
     if fmt == "csv":
-        return (spark.read.schema(schema)
+        header = spark.read.option("header", True).csv(path).columns
+        if missing := [f.name for f in schema.fields if f.name not in header]:
+            raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+        in_file = StructType([schema[c] if c in schema.names else StructField(c, StringType()) for c in header])
+        return (spark.read.schema(in_file)
                 .option("header", True)
+                .option("enforceSchema", False)
                 .option("sep", ",")
                 .option("dateFormat", "yyyy-MM-dd")
                 .option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss[.SSSSSS]")
                 .option("mode", "FAILFAST")
-                .csv(path))
+                .csv(path)
+                .select(*schema.names))
     if fmt == "parquet":
         df = spark.read.parquet(path)
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])

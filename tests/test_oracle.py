@@ -4,13 +4,14 @@ import pytest
 
 import __spark_entry__ as se
 from conftest import SF_MEDIUM, SF_SMALL
+from basketry.plans.registry import ENTRIES
 from oracle_check import compare
 
-NAMES = list(se.queries())
+NAMES = list(ENTRIES)
 
 
 def test_every_query_has_an_oracle():
-    assert set(se.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(se.oracle_sql()) and set(NAMES) <= set(se.queries())
     assert len(NAMES) == 61
 
 
