@@ -8,11 +8,15 @@
    one that a fixed random sequence names, so small sets can be compared too.
 3. Bands of ``BAND`` registers are hashed; classes that share a band hash are
    candidates. At Jaccard 0.8 all 40 bands of 5 miss with probability 1e-7.
-4. Candidates are first tried against one representative for each band bucket
-   (a star, not all pairs), by an estimate and then on their full sets. Linked
-   classes form components; only bucket neighbours of different components
-   are still compared with each other, so a large group of copies costs about
-   one comparison for each member and bucket.
+4. Candidates are first tried against one centre for each band bucket (a star,
+   not all pairs): the class that shares the most buckets with others, which
+   in a group of copies is the text nearest to all. Pairs pass an estimate and
+   are then compared on their full sets. Linked classes form components; only
+   bucket neighbours of different components are still compared with each
+   other, once, in the first band that they share, and only if their rarest
+   shingles leave the threshold within reach (an exact bound: copies with many
+   changes of their own drop out). A large group of copies so costs about one
+   comparison for each member and bucket.
 5. The estimate counts agreeing registers and corrects for accidental
    agreement; pairs far below the threshold (over 4 standard errors at any
    size) are not verified. A cheaper form of it, on one bit of each register,
@@ -41,8 +45,11 @@ BAND = 5
 BANDS = 40
 REGISTERS = BAND * BANDS
 MANTISSA_BITS = 10
-# a pair this far below the threshold is not verified; n: the smaller set's size
-MARGIN, MARGIN_SMALL = 0.12, 3.0        # MARGIN + MARGIN_SMALL / sqrt(n)
+# a pair this far below the threshold is not verified: over four standard
+# errors of the estimate from whole registers (0.03 to 0.04), and of the one
+# from a bit each (BIT_MARGIN + BIT_SMALL / sqrt(n), n: the smaller set's size)
+MARGIN = 0.16
+BIT_MARGIN, BIT_SMALL = 0.19, 0.8
 _BIT_WORDS = -(-REGISTERS // 64)
 
 
@@ -68,6 +75,13 @@ def shingle_sets(raw: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.n
     return shingles, np.searchsorted(doc, np.arange(n + 1)), w.counts
 
 
+def set_keys(shingles: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
+    """Each set's identity: two independent sums over its members."""
+    seed = np.uint64(0x5851F42D4C957F2D)
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles ^ s)))) for s in (seed, ~seed)]
+    return [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+
+
 def _borrow_order() -> np.ndarray:
     rng = np.random.default_rng(20)
     return np.stack([rng.permutation(REGISTERS) for _ in range(REGISTERS)])
@@ -135,17 +149,13 @@ def one_bit(registers: np.ndarray) -> np.ndarray:
 
 def _sketch_rows(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, n_shingles, set_key, bands, bits of every row."""
-    seed = np.uint64(0x5851F42D4C957F2D)
-
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
             for lo, hi in blocks(offsets):
                 shingles, first, _ = shingle_sets(raw, offsets[lo:hi + 1], words)
                 size = np.diff(first)
-                # the set's identity: two independent sums over its members, and its size
-                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(shingles ^ s)))) for s in (seed, ~seed)]
-                keys = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
+                keys = set_keys(shingles, first)
                 registers = sketches(shingles, first)
                 bands = band_hashes(registers).view(np.int64).ravel()
                 bits = one_bit(registers).ravel()
@@ -165,13 +175,40 @@ def _plausible(n1: Column, n2: Column, bits1: Column, bits2: Column, threshold:
     differ agree in one bit half of the time, so J = 1 - 2 * (share of
     differing bits)."""
     differing = sum((F.bit_count(bits1[k].bitwiseXOR(bits2[k])) for k in range(_BIT_WORDS)), F.lit(0))
-    margin = F.lit(MARGIN) + F.lit(MARGIN_SMALL) / F.sqrt(F.least(n1, n2))
+    margin = F.lit(BIT_MARGIN) + F.lit(BIT_SMALL) / F.sqrt(F.least(n1, n2))
     most = (F.lit(1 - threshold / 100) + margin) * F.lit(REGISTERS / 2)
     return ((F.least(n1, n2) * 100 >= F.greatest(n1, n2) * threshold) & (differing <= most))
 
 
-def _verified(candidates: DataFrame, docs: DataFrame, words: int, threshold: int) -> DataFrame:
-    """The pairs (a, b) of doc_ids whose full sets meet the threshold."""
+def _rare_parts(texts: DataFrame, classes: DataFrame, words: int) -> DataFrame:
+    """class, key1, rare, last: the rarest quarter of each set's shingles
+    (rarity: how many of ``classes`` have it) and the order of its last one.
+
+    Two sets share at most the shingles in both rare parts, and what is left
+    of the set whose rare part ends first: an exact bound on the Jaccard."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = text_buffer(b.column(1))
+            for lo, hi in blocks(offsets):
+                shingles, first, _ = shingle_sets(raw, offsets[lo:hi + 1], words)
+                size = np.diff(first)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(np.repeat(np.arange(lo, hi), size))), pa.array(np.repeat(set_keys(shingles, first)[0], size)),
+                     pa.array(shingles.view(np.int64))], ["class", "key1", "shingle"])
+
+    members = saved(texts.join(classes.withColumnRenamed("class", "_id"), "_id", "left_semi")
+                    .mapInArrow(run, "class long, key1 long, shingle long"), "near-open-sets")
+    counts = saved(members.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")), "near-shingle-counts")
+    ordered = F.sort_array(F.collect_set(F.struct("df", "shingle")))
+    return (members.join(counts, "shingle").groupBy("class", "key1").agg(ordered.alias("s"))
+            .select("class", "key1", F.slice("s", 1, F.ceil(F.size("s") / 4).cast("int")).alias("s"))
+            .select("class", "key1", F.col("s.shingle").alias("rare"), F.element_at("s", -1).alias("last")))
+
+
+def _verified(candidates: DataFrame, texts: DataFrame, words: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) of doc_ids whose full sets meet the threshold.
+    ``texts``: _id, text."""
     pairs = saved(candidates.select("a", "b").distinct(), "near-candidates")
     wanted = pairs.select(F.col("a").alias("_id")).union(pairs.select("b")).distinct()
 
@@ -186,10 +223,7 @@ def _verified(candidates: DataFrame, docs: DataFrame, words: int, threshold: int
                      pa.array([r.tobytes() for r in registers], pa.binary())], ["id", "members", "sketch"])
 
     # a class representative's rows have equal sets if they share a doc_id
-    texts = (docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string"))
-             .join(wanted, "_id", "left_semi")
-             .mapInArrow(sets, "id long, members binary, sketch binary"))
-    found = saved(texts, "near-sets")
+    found = saved(texts.join(wanted, "_id", "left_semi").mapInArrow(sets, "id long, members binary, sketch binary"), "near-sets")
 
     def confirm(batches):
         for b in batches:
@@ -213,8 +247,7 @@ def estimate(x: np.ndarray, y: np.ndarray) -> float:
 
 def _linked(m1: bytes, m2: bytes, s1: bytes, s2: bytes, threshold: int) -> bool:
     x, y = np.frombuffer(m1, np.uint64), np.frombuffer(m2, np.uint64)
-    margin = MARGIN + MARGIN_SMALL / max(1, min(len(x), len(y))) ** 0.5
-    if estimate(np.frombuffer(s1, np.uint16), np.frombuffer(s2, np.uint16)) < threshold / 100 - margin:
+    if estimate(np.frombuffer(s1, np.uint16), np.frombuffer(s2, np.uint16)) < threshold / 100 - MARGIN:
         return False
     both = np.concatenate((x, y))
     both.sort(kind="mergesort")
@@ -232,15 +265,21 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = TH
     classes = saved(usable.groupBy(*keys).agg(F.min("doc_id").alias("class")), "near-keys")
     heads = saved(usable.join(classes.withColumnRenamed("class", "doc_id"), [*keys, "doc_id"], "left_semi")
                   .dropDuplicates(["doc_id", *keys])
-                  .select(F.col("doc_id").alias("class"), "n_shingles", "bits", "bands"), "near-classes")
+                  .select(F.col("doc_id").alias("class"), "n_shingles", "key1", "bits", "bands"), "near-classes")
 
     # (band hash, class) of all buckets of two classes or more, with the
-    # bucket's representative
+    # bucket's centre
     dealt = heads.select("class", F.explode("bands").alias("band"))
-    shared = saved(dealt.groupBy("band").agg(F.min("class").alias("centre"), F.max("class").alias("_last"))
-                   .where("centre < _last").select("band", "centre"), "near-shared")
-    buckets = saved(dealt.join(shared, "band"), "near-buckets")
+    shared = saved(dealt.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-shared")
+    dealt = saved(dealt.join(shared, "band"), "near-dealt")
+    scores = dealt.groupBy("class").agg(F.sum("n").alias("score"))
+    centres = saved(dealt.join(scores, "class").groupBy("band").agg(F.max(F.struct("score", (-F.col("class")).alias("_c"))).alias("best"))
+                    .select("band", (-F.col("best._c")).alias("centre")), "near-centres")
+    buckets = saved(dealt.select("band", "class").join(centres, "band"), "near-buckets")
     info = heads.select("class", "n_shingles", "bits")
+    # only texts that share a bucket are looked at again
+    texts = saved(docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").cast("string").alias("text"))
+                  .join(buckets.select(F.col("class").alias("_id")).distinct(), "_id", "left_semi"), "near-texts")
 
     def with_info(pairs: DataFrame) -> DataFrame:
         one = info.select(F.col("class").alias("a"), F.col("n_shingles").alias("n1"), F.col("bits").alias("bits1"))
@@ -249,7 +288,7 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = TH
             _plausible(F.col("n1"), F.col("n2"), F.col("bits1"), F.col("bits2"), threshold))
 
     stars = (buckets.where("centre <> class").select(F.col("centre").alias("a"), F.col("class").alias("b")).distinct())
-    links = _verified(with_info(stars), docs, words, threshold)
+    links = _verified(with_info(stars), texts, words, threshold)
     labels = components(links)
 
     # members of one bucket that the stars left in different components
@@ -257,13 +296,22 @@ def near_groups(docs: DataFrame, words: int = SHINGLE_WORDS, threshold: int = TH
                     .select("band", "class", F.coalesce("component", "class").alias("component")), "near-members")
     mixed = saved(members.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"))
                   .where("x < y").select("band"), "near-mixed")
-    open_ = saved(members.join(mixed, "band").join(info, "class").select("band", "class", "component", "n_shingles", "bits"),
-                  "near-open")
+    members = saved(members.join(mixed, "band"), "near-mixed-members")
+    rare = _rare_parts(texts, members.select("class").distinct(), words)
+    open_ = saved(members.join(heads, "class").join(rare, ["class", "key1"])
+                  .select("band", "class", "component", "n_shingles", "bits", "bands", "rare", "last"), "near-open")
     p, q = open_.alias("p"), open_.alias("q")
+    # shared shingles: in both rare parts, or behind the one that ends first
+    left_over = F.when(F.col("p.last") <= F.col("q.last"), F.col("p.n_shingles") - F.size("p.rare")).otherwise(
+        F.col("q.n_shingles") - F.size("q.rare"))
+    within = ((F.size(F.array_intersect("p.rare", "q.rare")) + left_over) * (100 + threshold)
+              >= (F.col("p.n_shingles") + F.col("q.n_shingles")) * threshold)
+    first_band = F.filter(F.zip_with("p.bands", "q.bands", lambda x, y: F.when(x == y, x)), lambda x: x.isNotNull())[0]
     cross = (p.join(q, (F.col("p.band") == F.col("q.band")) & (F.col("p.component") < F.col("q.component"))
-                    & _plausible(F.col("p.n_shingles"), F.col("q.n_shingles"), F.col("p.bits"), F.col("q.bits"), threshold))
-             .select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")).distinct())
-    more = _verified(cross.join(stars, ["a", "b"], "left_anti"), docs, words, threshold)
+                    & _plausible(F.col("p.n_shingles"), F.col("q.n_shingles"), F.col("p.bits"), F.col("q.bits"), threshold)
+                    & (F.col("p.band") == first_band) & within)
+             .select(F.least("p.class", "q.class").alias("a"), F.greatest("p.class", "q.class").alias("b")))
+    more = _verified(cross, texts, words, threshold)
     joined = components(more.union(labels.select(F.col("node").alias("a"), F.col("component").alias("b"))))
 
     named = saved(classes.join(joined, classes["class"] == joined["node"], "left").select(

@@ -178,7 +178,7 @@ def test_sketch_estimates_jaccard(size, shared):
         a, b = np.sort(x[:size]), np.sort(x[size - shared:])
         r = near.sketches(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]))
         errors.append(near.estimate(r[0], r[1]) - len(np.intersect1d(a, b)) / len(x))
-    assert abs(np.mean(errors)) < 0.06 and np.max(np.abs(errors)) < near.MARGIN + near.MARGIN_SMALL / size ** 0.5
+    assert abs(np.mean(errors)) < 0.06 and np.max(np.abs(errors)) < near.MARGIN
 
 
 def test_empty_tables(spark):
