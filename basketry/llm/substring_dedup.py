@@ -15,7 +15,8 @@ match in it:
    only their hashes are shuffled to find the shared ones.
 3. The text around a shared anchor (all windows that hold it) is its context.
    Equal contexts are merged on the map side, keeping the smallest doc_id.
-   The contexts of one anchor form a reference shard: their generalised suffix
+   The different contexts of one anchor form a reference shard (their words
+   are read once, from the smallest document): their generalised suffix
    automaton knows for every state the smallest doc_id that reaches it, and
    each context is streamed through it for its matching statistics. A match of
    13 words names the smallest document that holds the window.
@@ -43,6 +44,7 @@ from basketry.llm.workdir import fresh, saved
 WINDOW = 13
 GRAM = 5
 MAX_SHARD = 2000
+MAX_BROADCAST_COPIES = 1_000_000
 _NO_ID = (1 << 63) - 1
 _REACH = WINDOW - GRAM
 
@@ -128,39 +130,55 @@ def anchors(w: Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
     return starts, best, by_word
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
+                       F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+
+
 def _summaries(docs: DataFrame) -> DataFrame:
-    """doc, text_hash, n_words, the word sequence's identity and sha256, and
-    the distinct anchor hashes."""
+    """doc, text_hash, n_words and the sha256 of the words joined by a space."""
 
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
+            sizes, sums = [], []
+            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                words = raw[lo:hi].tobytes().split()        # parts bytes at the same six characters
+                sizes.append(len(words))
+                sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.string())],
+                                             ["doc", "text_hash", "n_words", "words_sha256"])
+
+    return _keyed(docs).mapInArrow(run, "doc long, text_hash long, n_words long, words_sha256 string")
+
+
+def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """doc, anchor: the distinct anchor hashes of each row of ``texts``."""
+
+    def run(batches):
+        for b in batches:
+            raw, offsets = text_buffer(b.column(1))
             for lo, hi in blocks(offsets):
                 w = Words(raw, offsets[lo:hi + 1])
-                hashes = w.hashes()
-                n = hi - lo
-                _, best, by_word = anchors(w, hashes)
-                new = np.flatnonzero(np.concatenate(([True], best[1:] != best[:-1]))) if len(best) else np.zeros(0, int)
-                at = best[new]
-                cuts = np.searchsorted(at, w.first)
-                sums, data = [], w.data.tobytes()
-                for i in range(n):       # split() parts bytes at the same six characters
-                    sums.append(hashlib.sha256(b" ".join(data[w.offsets[i]:w.offsets[i + 1]].split())).hexdigest())
-                yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array(w.counts.astype(np.int64)), pa.array(sums, pa.string()),
-                     pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(by_word[at].view(np.int64)))],
-                    ["doc", "text_hash", "n_words", "words_sha256", "anchors"])
+                _, best, by_word = anchors(w, w.hashes())
+                at = best[np.concatenate(([True], best[1:] != best[:-1]))] if len(best) else best
+                doc, key = w.doc()[at], by_word[at]
+                order = np.lexsort((key, doc))
+                doc, key = doc[order], key[order]
+                new = np.ones(len(key), bool)
+                new[1:] = (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[new] + lo)), pa.array(key[new].view(np.int64))],
+                                                 ["doc", "anchor"])
 
-    return (docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)), F.xxhash64("text"), F.col("text").cast("string"))
-            .mapInArrow(run, "doc long, text_hash long, n_words long, words_sha256 string, anchors array<long>"))
+    return texts.select("doc", "text").mapInArrow(run, "doc long, anchor long")
 
 
-_CONTEXT = "key long, context long, doc long, text_hash long, start int, words binary"
+_CONTEXT = "key long, context long, doc long, text_hash long, start int, size int"
 
 
-def _contexts(texts: DataFrame, with_words: bool) -> DataFrame:
-    """The contexts of the shared anchors: the windows that ``start`` and the
-    following word positions begin, as many as ``len(words) - WINDOW + 1``.
+def _contexts(texts: DataFrame) -> DataFrame:
+    """The contexts of the shared anchors: ``size`` words from ``start`` on,
+    which hold ``size - WINDOW + 1`` windows.
 
     ``texts``: doc, text_hash, text, small and large (shared anchors)."""
     names = [f.split()[0] for f in _CONTEXT.split(", ")]
@@ -197,19 +215,45 @@ def _contexts(texts: DataFrame, with_words: bool) -> DataFrame:
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + order * np.uint64(0x9E3779B97F4A7C15)))))
                 context = mix(total[begin + size] - total[begin] + size.astype(np.uint64))
                 key = np.where(large[head], mix(context + np.uint64(1)), by_word[best[head]])
-                packed = np.ascontiguousarray(flat.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes() if with_words else b""
-                words = [packed[6 * s:6 * (s + n)] for s, n in zip(begin.tolist(), size.tolist(), strict=True)] if with_words else [None] * len(head)
                 row = pa.array(doc[head] + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(row), b.column(1).take(row),
-                     pa.array((first - w.first[doc[head]]).astype(np.int32)), pa.array(words, pa.binary())], names)
+                     pa.array((first - w.first[doc[head]]).astype(np.int32)), pa.array(size.astype(np.int32))], names)
 
     return texts.select("doc", "text_hash", "text", "small", "large").mapInArrow(run, _CONTEXT)
 
 
-def _owners(contexts: DataFrame) -> DataFrame:
-    """key, context, owners: for each window of each distinct context the
-    smallest document that holds it."""
+def _words_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
+    """key, context, owner, words: six bytes of each word's hash, taken from
+    the first copy of each open context."""
+
+    def run(batches):
+        for b in batches:
+            keys, contexts, owners, words = [], [], [], []
+            raw, offsets = text_buffer(b.column(1))
+            for lo, hi in blocks(offsets):
+                w = Words(raw, offsets[lo:hi + 1])
+                packed = np.ascontiguousarray(w.hashes().view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+                for i in range(hi - lo):
+                    owner = b.column(0)[lo + i].as_py()
+                    for c in b.column(2)[lo + i].as_py():
+                        at = int(w.first[i]) + c["start"]
+                        keys.append(c["key"])
+                        contexts.append(c["context"])
+                        owners.append(owner)
+                        words.append(packed[6 * at:6 * (at + c["size"])])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(owners, pa.int64()), pa.array(words, pa.binary())],
+                ["key", "context", "owner", "words"])
+
+    wanted = open_.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "context", "start", "size")).alias("wanted"))
+    return (texts.select("doc", "text_hash", "text").join(wanted, ["doc", "text_hash"]).select("doc", "text", "wanted")
+            .mapInArrow(run, "key long, context long, owner long, words binary"))
+
+
+def _owners(words: DataFrame) -> DataFrame:
+    """key, context, owners: for each window of each context the smallest
+    document that holds it in any context of the shard."""
 
     def solve(rows: list[tuple]) -> list[list[int]]:
         """rows: (owner, words) of all contexts of a key."""
@@ -218,8 +262,6 @@ def _owners(contexts: DataFrame) -> DataFrame:
             wide = np.zeros((len(words) // 6, 8), np.uint8)
             wide[:, :6] = np.frombuffer(words, np.uint8).reshape(-1, 6)
             sequences.append(wide.view(np.uint64).ravel().tolist())
-        if len(rows) == 1:
-            return [[rows[0][0]] * (len(sequences[0]) - WINDOW + 1)]
         automaton = SuffixAutomaton()
         for (owner, _), s in zip(rows, sequences, strict=True):
             automaton.add(s, owner)
@@ -255,8 +297,7 @@ def _owners(contexts: DataFrame) -> DataFrame:
         if held:
             yield emit(held)
 
-    distinct = contexts.groupBy("key", "context", "words").agg(F.min("doc").alias("owner"))
-    return (distinct.repartition("key").sortWithinPartitions("key").select("key", "context", "owner", "words")
+    return (words.repartition("key").sortWithinPartitions("key").select("key", "context", "owner", "words")
             .mapInArrow(run, "key long, context long, owners array<long>"))
 
 
@@ -267,17 +308,25 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     same = ["words_sha256", "n_words"]
     first = saved(rows.groupBy(*same).agg(F.min("doc").alias("owner")), "passage-owners")
     rows = rows.join(first, same).withColumn("copy", F.col("owner") < F.col("doc"))
-    dealt = rows.where(~F.col("copy")).select("doc", F.explode("anchors").alias("anchor"))
+    copies = saved(rows.where("copy").select("doc", "text_hash").distinct(), "passage-copies")
+    # 16 bytes a row; a longer list is joined by a shuffle
+    known = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_COPIES else copies
+    dealt = _anchor_rows(_keyed(docs).join(known, ["doc", "text_hash"], "left_anti"))
     shared = saved(dealt.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n"))
                    .where("x < y").select("anchor", (F.col("n") > MAX_SHARD).alias("many")), "passage-anchors")
     hits = (dealt.join(shared, "anchor").groupBy("doc")
             .agg(F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("small"),
                  F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("large")))
-    texts = saved(docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("doc"),
-                              F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-                  .join(hits, "doc"), "passage-texts")
-    owners = saved(_owners(_contexts(texts, True)), "passage-windows")
-    gone = (_contexts(texts, False).drop("words").join(owners, ["key", "context"])
+    texts = saved(_keyed(docs).join(hits, "doc").dropDuplicates(["doc", "text_hash"]), "passage-texts")
+    contexts = saved(_contexts(texts), "passage-contexts")
+    one = ["key", "context"]
+    distinct = saved(contexts.groupBy(*one).agg(F.min(F.struct("doc", "text_hash", "start", "size")).alias("at")), "passage-distinct")
+    shards = saved(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-shards")
+    found = _owners(_words_of(texts, distinct.join(shards, "key").select(*one, "at.*")))
+    # alone with its anchor: the smallest document of the context holds all its windows
+    alone = F.array_repeat("at.doc", F.col("at.size") - WINDOW + 1)
+    owners = saved(distinct.join(found, one, "left").select(*one, F.coalesce("owners", alone).alias("owners")), "passage-windows")
+    gone = (contexts.join(owners, one)
             .select("doc", "text_hash", F.expr(
                 "transform(filter(sequence(0, size(owners) - 1), i -> owners[i] < doc), i -> start + i)").alias("starts"))
             .where(F.size("starts") > 0).groupBy("doc", "text_hash")
@@ -314,7 +363,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                  pa.array(kept, pa.string()), pa.array(sums, pa.string())],
                 ["doc", "text_hash", "cut_words", "spans", "kept_text", "cut_sha256"])
 
-    cuts = (texts.select("doc", "text_hash", "text").dropDuplicates(["doc", "text_hash"]).join(gone, ["doc", "text_hash"])
+    cuts = (texts.select("doc", "text_hash", "text").join(gone, ["doc", "text_hash"])
             .select("doc", "text_hash", "text", "starts")
             .mapInArrow(cut, "doc long, text_hash long, cut_words long, spans array<array<long>>, kept_text string, cut_sha256 string"))
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)
