@@ -7,8 +7,11 @@ checkpoint directory used to cut lineage in the exact ranking operator.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
+from pyspark.errors import PySparkNotImplementedError
 from pyspark.sql import SparkSession
 
 
@@ -45,8 +48,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """
     try:
         sc = spark.sparkContext
-    except Exception:  # noqa: BLE001  (Spark Connect: the server owns the setting)
-        return spark.conf.get("spark.checkpoint.dir", "")
+    except PySparkNotImplementedError:     # Spark Connect: the server has the context
+        configured = spark.conf.get("spark.checkpoint.dir", "")
+        if not configured:
+            raise RuntimeError("spark.checkpoint.dir is not set on the Spark Connect server") from None
+        return configured
     current = sc.getCheckpointDir()
     if current:
         return current
@@ -59,5 +65,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             "spark.checkpoint.dir is not set; point it at a shared folder "
             "(HDFS/object store) so ranked frames survive executor loss")
     scratch = tempfile.mkdtemp(prefix="basketry-ckpt-")
+    atexit.register(shutil.rmtree, scratch, ignore_errors=True)
     sc.setCheckpointDir(scratch)
     return scratch

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from basketry.operators.ranking import global_rank, ntile_exact, percentiles_exact
+from basketry.operators.ranking import global_rank, ntile_labels, percentiles, rows_at_ranks
 
 
 def _frame(spark, keys):
@@ -20,8 +20,9 @@ def _builtin_ntile(df, k, order):
     return {r.id: r.t for r in df.select("id", F.ntile(k).over(w).alias("t")).collect()}
 
 
-def _ours(df, k, order):
-    out = ntile_exact(df.repartition(5), k, [order], ["id"], "t")
+def _ours(df, k, order, n_buckets=256):
+    desc = "DESC" in str(order)
+    out = ntile_labels(df.repartition(5), k, {"t": ("k", desc)}, "id", n_buckets=n_buckets)
     return {r.id: r.t for r in out.select("id", "t").collect()}
 
 
@@ -76,72 +77,62 @@ def test_global_rank_is_a_permutation(spark):
     assert [(r.k, r.id) for r in by_rank] == sorted((r.k, r.id) for r in ranked)
 
 
-def test_percentiles_match_builtin(spark):
-    rnd = random.Random(7)
-    vals = [round(rnd.uniform(-100, 1000), 2) for _ in range(999)] + [None] * 5
+def _check_percentiles(spark, vals, ps, n_buckets):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
-    ps = {"p25": 0.25, "p50": 0.5, "p95": 0.95, "p0": 0.0, "p100": 1.0}
-    ours = percentiles_exact(df, "v", ps, ["id"]).first().asDict()
+    got = percentiles(df, "v", ps, "id", n_buckets=n_buckets)
     ref = df.agg(*[F.percentile("v", p).alias(n) for n, p in ps.items()]).first().asDict()
     for n in ps:
-        assert abs(ours[n] - ref[n]) < 1e-9, (n, ours[n], ref[n])
-
-
-def test_percentile_small_case(spark):
-    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 10.0), (4, 11.0)], "id long, v double")
-    got = percentiles_exact(df, "v", {"p25": 0.25, "p50": 0.5}, ["id"]).first()
-    assert got.p25 == 1.75 and got.p50 == 6.0
+        assert abs(got[n] - ref[n]) < 1e-9, (n, got[n], ref[n])
 
 
-def test_percentile_empty_input_gives_null_row(spark):
-    df = spark.createDataFrame([], "id long, v double")
-    got = percentiles_exact(df, "v", {"p50": 0.5}, ["id"]).collect()
-    assert len(got) == 1 and got[0].p50 is None
+PS = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p0": 0.0, "p100": 1.0}
 
 
-def _small_domain(df, k, desc, max_distinct=200_000):
-    from basketry.operators.ranking import ntile_small_domain
-    out = ntile_small_domain(df.repartition(4), k, "k", desc, "id", "t", max_distinct=max_distinct)
-    return {r.id: r.t for r in out.select("id", "t").collect()}
+def test_percentiles_match_builtin(spark):
+    rnd = random.Random(7)
+    _check_percentiles(spark, [round(rnd.uniform(-100, 1000), 2) for _ in range(999)] + [None] * 5, PS, 256)
 
 
-@settings(max_examples=8, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.integers(min_value=0, max_value=6)), min_size=0, max_size=80),
-       st.integers(min_value=1, max_value=9), st.booleans())
-def test_small_domain_ntile_property(spark, keys, k, desc):
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(keys)], "id long, k long")
-    order = F.col("k").desc_nulls_last() if desc else F.col("k").asc_nulls_first()
-    assert _small_domain(df, k, desc) == _builtin_ntile(df, k, order)
+def test_percentiles_with_a_hot_value(spark, monkeypatch):
+    """A value holding a third of the rows: its bucket is not ranked."""
+    import basketry.operators.ranking as ranking
+    rnd = random.Random(9)
+    vals = [42.0] * 400 + [round(rnd.lognormvariate(3, 2), 2) for _ in range(800)] + [None] * 7
+    _check_percentiles(spark, vals, PS, 32)
+    sorted_rows = []
+    rank = ranking.global_rank
+    monkeypatch.setattr(ranking, "global_rank", lambda df, *a, **k: (sorted_rows.append(df.where("v = 42.0").count()), rank(df, *a, **k))[1])
+    _check_percentiles(spark, [42.0] * 400 + [float(x) for x in range(800)], PS, 64)
+    assert sum(sorted_rows) < 400
 
 
-def test_small_domain_hot_group_and_fallback(spark):
-    keys = [1] * 700 + [rnd % 40 + 2 for rnd in range(300)]
-    random.Random(5).shuffle(keys)
-    df = _frame(spark, keys)
-    want = _builtin_ntile(df, 4, F.col("k").asc())
-    assert _small_domain(df, 4, False) == want                   # histogram path
-    assert _small_domain(df, 4, False, max_distinct=3) == want   # falls back to full ranking
+def test_percentile_small_and_empty(spark):
+    df = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 10.0), (4, 11.0)], "id long, v double")
+    assert percentiles(df, "v", {"p25": 0.25, "p50": 0.5}, "id") == {"p25": 1.75, "p50": 6.0}
+    assert percentiles(df.limit(0), "v", {"p50": 0.5}, "id") == {"p50": None}
 
 
-@settings(max_examples=6, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.integers(min_value=-300, max_value=300)), min_size=0,
-                max_size=120),
+@settings(max_examples=8, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.integers(min_value=-300, max_value=300)), min_size=0, max_size=120),
        st.integers(min_value=1, max_value=9), st.booleans(), st.sampled_from([2, 4, 16]))
-def test_numeric_ntile_property(spark, keys, k, desc, n_buckets):
-    from basketry.operators.ranking import ntile_numeric
+def test_ntile_with_nulls_property(spark, keys, k, desc, n_buckets):
     df = spark.createDataFrame([(i, v) for i, v in enumerate(keys)], "id long, k long")
     order = F.col("k").desc_nulls_last() if desc else F.col("k").asc_nulls_first()
-    got = ntile_numeric(df.repartition(3), k, "k", desc, "id", "t", n_buckets=n_buckets)
-    assert {r.id: r.t for r in got.collect()} == _builtin_ntile(df, k, order)
+    assert _ours(df, k, order, n_buckets) == _builtin_ntile(df, k, order)
 
 
-def test_numeric_percentiles_match_builtin_with_hot_value(spark):
-    from basketry.operators.ranking import percentiles_numeric
-    rnd = random.Random(9)
-    vals = [42.0] * 400 + [round(rnd.lognormvariate(3, 2), 2) for _ in range(800)] + [None] * 7
-    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
-    ps = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p0": 0.0, "p100": 1.0}
-    got = percentiles_numeric(df, "v", ps, ["id"], n_buckets=32).first().asDict()
-    ref = df.agg(*[F.percentile("v", p).alias(n) for n, p in ps.items()]).first().asDict()
-    for n in ps:
-        assert abs(got[n] - ref[n]) < 1e-9, (n, got[n], ref[n])
+def test_ntile_of_several_keys_at_once_and_a_null_tie(spark):
+    rnd = random.Random(2)
+    rows = [(None if i == 0 else i, rnd.randint(0, 9), round(rnd.random(), 3)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, k long, v double")
+    got = ntile_labels(df, 4, {"a": ("k", True), "b": ("v", False)}, "id", n_buckets=8)
+    want = df.select("id", F.ntile(4).over(Window.orderBy(F.col("k").desc(), "id")).alias("a"),
+                     F.ntile(4).over(Window.orderBy("v", "id")).alias("b"))
+    assert {tuple(r) for r in got.select("id", "a", "b").collect()} == {tuple(r) for r in want.collect()}
+
+
+def test_rows_at_ranks(spark):
+    df = _frame(spark, [random.Random(3).randint(0, 50) for _ in range(500)])
+    rows = sorted((r.k, r.id) for r in df.collect())
+    got = rows_at_ranks(df, {"x": ("k", False)}, "id", lambda *_: [0, 7, 250, 499, 500, -1], n_buckets=8)["x"]
+    assert {r: (int(v), t) for r, (v, t) in got.items()} == {r: rows[r] for r in (0, 7, 250, 499)}

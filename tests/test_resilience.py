@@ -19,7 +19,7 @@ SCRIPT = textwrap.dedent("""
     from pyspark import TaskContext
     from pyspark.sql import SparkSession, Window
     from pyspark.sql import functions as F
-    from basketry.operators.ranking import ntile_exact, ntile_numeric
+    from basketry.operators.ranking import global_rank, ntile_labels
     from basketry.session import ensure_checkpoint_dir
 
     spark = (SparkSession.builder.master("local[4,4]")
@@ -41,12 +41,13 @@ SCRIPT = textwrap.dedent("""
         "id", F.ntile(5).over(Window.orderBy("k", "id")).alias("t")).collect()}}
 
     shaky = base.withColumn("k", flaky("k"))
-    got = {{r.id: r.t for r in ntile_exact(shaky, 5, [F.col("k").asc()], ["id"], "t")
-           .withColumn("t", flaky("t")).collect()}}
-    assert got == want, "ntile_exact changed under retries"
-    got2 = {{r.id: r.t for r in ntile_numeric(shaky, 5, "k", False, "id", "t", n_buckets=8)
-            .collect()}}
-    assert got2 == want, "ntile_numeric changed under retries"
+    ranks = {{r.id: r.x for r in global_rank(shaky, [F.col("k").asc()], ["id"], rank="x")
+             .withColumn("x", flaky("x")).collect()}}
+    order = sorted((r.k, r.id) for r in base.collect())
+    assert ranks == {{i: n for n, (_, i) in enumerate(order)}}, "global_rank changed under retries"
+    got = {{r.id: r.t for r in ntile_labels(shaky, 5, {{"t": ("k", False)}}, "id", n_buckets=8)
+            .withColumn("t", flaky("t")).collect()}}
+    assert got == want, "ntile_labels changed under retries"
     print("RESILIENT")
 """)
 

@@ -216,3 +216,25 @@ def test_funnel_stages_are_independent_counts(spark):
     assert f.view_to_click_pct == 200.0 and f.cart_to_purchase_pct is None
     drops = {r.funnel_step: r for r in B.funnel_dropoff(tables(spark, events=evs)).collect()}
     assert drops["view → click"].dropped == -1 and drops["view → click"].drop_off_pct == -100.0
+
+
+def test_target_attainment_is_exact_at_the_target(spark):
+    """2.9 % of 1000 exposed customers: 29 reach the target, 28 do not, and
+    2.996 % does not reach 3 %."""
+    import datetime as dt
+    from decimal import Decimal
+
+    from basketry.plans.narrative import campaign_target_attainment
+    from basketry.plans.tables import Tables
+    from basketry.schemas import CAMPAIGNS, CUSTOMERS, EVENTS, PRODUCTS, TRANSACTIONS
+    d, ts = dt.date(2022, 1, 1), dt.datetime(2022, 1, 1)
+    cases = [(1, Decimal("0.029"), 1000, 29), (2, Decimal("0.029"), 1000, 28), (3, Decimal("0.030"), 2503, 75),
+             (4, Decimal("0.030"), 2500, 75), (5, Decimal("0.030"), 2500, 76)]
+    campaigns = [(c, "Email", "Retention", d, d, "All", u) for c, u, _, _ in cases]
+    events = [(c * 10000 + k, ts, k, k, "purchase" if k < hit else "view", 1, "mobile", "Email", c, "home")
+              for c, _, exposed, hit in cases for k in range(exposed)]
+    t = Tables(spark.createDataFrame([], CUSTOMERS), spark.createDataFrame([], PRODUCTS),
+               spark.createDataFrame(campaigns, CAMPAIGNS), spark.createDataFrame(events, EVENTS),
+               spark.createDataFrame([], TRANSACTIONS))
+    row = campaign_target_attainment(t).first()
+    assert (row.campaigns_evaluated, row.campaigns_met_target) == (5, 3)

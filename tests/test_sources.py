@@ -4,6 +4,7 @@ sink, and the stateless cleaning applied to a stream."""
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from basketry.plans import marts as V
@@ -31,6 +32,23 @@ def test_csv_reader_applies_fixed_schema(spark):
     assert rows[2].target_segment == "New Customers"
 
 
+def test_csv_columns_are_found_by_name(spark):
+    d = tempfile.mkdtemp(prefix="basketry-csv-")
+    path = os.path.join(d, "reordered.csv")
+    rows = [line.split(",") for line in CSV.strip().split("\n")]
+    order = [2, 1, 0, 6, 5, 4, 3]
+    with open(path, "w") as f:
+        f.write("\n".join(",".join([r[i] for i in order] + ["more"]) for r in rows))
+    got = read_table(spark, "campaigns", path, fmt="csv")
+    assert got.schema == CAMPAIGNS
+    first = got.orderBy("campaign_id").first()
+    assert (first.channel, first.objective, str(first.expected_uplift)) == ("Paid Search", "Cross-sell", "0.031")
+    with open(path, "w") as f:
+        f.write("\n".join(",".join(r[:-1]) for r in rows))
+    with pytest.raises(ValueError, match="expected_uplift"):
+        read_table(spark, "campaigns", path, fmt="csv")
+
+
 def test_parquet_reader_casts_to_schema(spark):
     d = tempfile.mkdtemp(prefix="basketry-pq-")
     spark.createDataFrame([(1, "Email", "Retention", "2021-01-01", "2021-02-01", "All", 0.1)],
@@ -55,6 +73,12 @@ def test_views_and_mart_sink(spark, small_tables):
     assert back.count() == marts["funnel_customers"].count()
 
 
+def test_all_views_by_name(spark, small_tables):
+    names = register_views(V.mart_views(small_tables))
+    assert len(names) == 10
+    assert spark.sql("select count(*) from rfm_segments").first()[0] == spark.table("rfm_segments").count() > 0
+
+
 def test_cleaning_on_stream(spark, small_tables):
     src = tempfile.mkdtemp(prefix="basketry-stream-src-")
     small_tables.events.write.mode("overwrite").parquet(src)
