@@ -122,7 +122,9 @@ def _bucketed(df: DataFrame, keys: Mapping[str, Key], n_buckets: int, accuracy:
     values = groups.select(F.explode(F.arrays_zip(*[f"_o_{n}" for n in keys])).alias("z")).select("z.*")
     found = values.agg(*quantiles()).first()
     for n, (c, desc) in keys.items():
-        edges = sorted({x for x in (found[f"_o_{n}"] or []) if x is not None})
+        at = [x for x in (found[f"_o_{n}"] or []) if x is not None]
+        # a value at several quantiles is hot: the next edge closes its bucket
+        edges = sorted({*at, *(math.nextafter(x, math.inf) for x, y in zip(at, at[1:]) if x == y)})
         if edges:
             buckets = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=f"_f_{n}", outputCol=f"_z_{n}",
                                  handleInvalid="keep")
