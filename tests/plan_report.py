@@ -62,12 +62,9 @@ def main() -> None:
     print("# PLANS\n")
     print("Physical-plan skeletons of every registered query (initial adaptive plan, "
           f"top-down; fixture input `{sf}`, generated by `tests/plan_report.py`). "
-          "`Scan ExistingRDD` is the checkpointed frame of the exact ranking operator; "
-          "its `Exchange rangepartitioning` on (order keys, unique tie key) runs once, in "
-          "the checkpoint job, and the plans shown read the stored result. The top-n reports "
-          "(B16, B21) return their stored n-row answer: their candidates come from a "
-          "TakeOrderedAndProject over the aggregate, broadcast into a scan of the dimension "
-          "(see `operators/topn.py`). Dimension sides show as broadcasts only because "
+          "`Scan ExistingRDD` is the checkpointed input of the exact ranking operators; "
+          "its rows are labelled in place, and the lookup of the cut points ran before. "
+          "Dimension sides show as broadcasts only because "
           "Spark's size check admits them at this scale; larger dimensions plan as "
           "sort-merge joins.\n")
     for name, e in ENTRIES.items():
