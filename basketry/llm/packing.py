@@ -213,12 +213,22 @@ def pack(found: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> Data
             .withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)).cast("long")).drop("_place"))
 
 
+def pack_pieces(found: DataFrame, capacity: int = CAPACITY, grain: int = GRAIN) -> DataFrame:
+    """``pack`` for pieces that carry their ids: only the lengths go through
+    the ranking, and the ids are shuffled once, to meet their places."""
+    if "ids" not in found.columns:
+        return pack(found, capacity, grain)
+    placed = pack(found.drop("ids", "ids_crc32", "doc_tokens"), capacity, grain)
+    return (found.join(placed.select("piece", "sequence_id", "offset"), "piece")
+            .select(*found.columns, "sequence_id", "offset"))
+
+
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, grain: int = GRAIN,
                    end_id: int = END_ID, with_ids: bool = True) -> DataFrame:
     """doc_id, text_hash, start, length, doc_tokens, ids_crc32[, ids],
     sequence_id, offset: every id of every document in exactly one piece."""
-    found = saved(pieces(docs, vocabulary, capacity, end_id, with_ids), "packing-pieces")
-    return pack(found, capacity, grain)
+    found = pieces(docs, vocabulary, capacity, end_id, with_ids).withColumn("piece", F.monotonically_increasing_id())
+    return pack_pieces(saved(found, "packing-pieces"), capacity, grain).drop("piece")
 
 
 def padded_sequences(packed: DataFrame, capacity: int = CAPACITY, pad_id: int = END_ID) -> DataFrame:
