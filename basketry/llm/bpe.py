@@ -5,13 +5,16 @@ path. Texts are cut into pre-tokens by that family's pattern (contractions,
 letters, digits, other signs, white space; one space may lead), found for a
 whole block at once from the code points' kinds. Each different pre-token is
 merged once and kept in a bounded cache; a block's ids are then gathered.
-Ids equal those of ``tokenizers`` with ``add_special_tokens=False`` and
-``encode_special_tokens`` on (special strings in a text are ordinary text).
+Texts are first cut at the file's added tokens (``<|endoftext|>``), which have
+ids of their own. Ids equal those of ``tokenizers`` with
+``add_special_tokens=False``: ``encode`` those with ``encode_special_tokens``
+on (such strings are ordinary text), ``encode_added`` those of its default.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -88,7 +91,16 @@ class BlockTokenizer:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
+            file = json.load(f)
+        model = file["model"]
+        added = file.get("added_tokens") or []
+        for token in added:
+            if token["single_word"] or token["lstrip"] or token["rstrip"]:
+                raise ValueError(f"added token {token['content']!r}: only plain matching is supported")
+        self._added = {token["content"].encode(): token["id"] for token in added}
+        # the longest one that starts leftmost
+        longest = sorted(self._added, key=len, reverse=True)
+        self._added_pattern = re.compile(b"|".join(map(re.escape, longest))) if longest else None
         chars = byte_of_char()
         ranks = {bytes(chars[c] for c in token): rank for token, rank in model["vocab"].items()
                  if all(c in chars for c in token)}
@@ -149,6 +161,34 @@ class BlockTokenizer:
         per_text = np.concatenate(([0], total))[np.searchsorted(start, bounds)]
         return ids, np.diff(per_text)
 
+    def encode_added(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same with the file's added tokens as ids of their own; the
+        parts of a text between them are encoded each by itself."""
+        offsets = offsets - offsets[0]
+        raw = data.tobytes()
+        if self._added_pattern is None or not self._added_pattern.search(raw):
+            return self.encode(data, offsets)
+        keep = np.ones(len(data), bool)
+        bounds, follow, special = [0], [], []          # ends of the parts, parts before a token, its id
+        parts = np.zeros(len(offsets), np.int64)       # parts before each text
+        tokens = np.zeros(len(offsets) - 1, np.int64)
+        gone = 0
+        for i, (lo, hi) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
+            for m in self._added_pattern.finditer(raw, lo, hi):
+                a, b = m.span()
+                follow.append(len(bounds) - 1)
+                special.append(self._added[m.group()])
+                bounds.append(a - gone)
+                keep[a:b] = False
+                gone += b - a
+                tokens[i] += 1
+            bounds.append(hi - gone)
+            parts[i + 1] = len(bounds) - 1
+        ids, counts = self.encode(data[keep], np.array(bounds, np.int64))
+        after = np.concatenate(([0], np.cumsum(counts)))
+        ids = np.insert(ids, after[np.array(follow, np.int64) + 1], np.array(special, np.uint32))
+        return ids, np.diff(after[parts]) + tokens
+
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> BlockTokenizer:

@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: i
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        encode = tokenizer(vocabulary).encode
+        encode = tokenizer(vocabulary).encode_added
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
             for lo, hi in blocks(offsets):

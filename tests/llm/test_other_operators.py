@@ -137,6 +137,47 @@ def test_ids_of_random_texts(texts):
     assert block_ids(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+SPECIAL = "<|endoftext|>"
+ADDED = ["hi <|endoftext|> there", SPECIAL, SPECIAL * 3, f"  {SPECIAL}  ", f"a\n\n{SPECIAL}\n\nb", f"é{SPECIAL}'s {SPECIAL}", "<|endoftext|", "|endoftext|>",
+         f"<|{SPECIAL}|>", f"<|endof{SPECIAL}text|>", "<|ENDOFTEXT|>", "x <|endof", "text|> y", ""]
+
+
+@pytest.fixture(scope="module")
+def default_public():
+    """The public tokenizer as it comes: added tokens keep their ids."""
+    from tokenizers import Tokenizer
+    return Tokenizer.from_file(VOCABULARY)
+
+
+def added_ids(texts):
+    raw, offsets = text_buffer(pa.array(texts, pa.string()))
+    ids, counts = tokenizer(VOCABULARY).encode_added(raw, offsets)
+    ends = np.cumsum(counts)
+    return [ids[e - c:e].tolist() for e, c in zip(ends, counts, strict=True)]
+
+
+def test_ids_of_added_tokens_equal_the_public_tokenizer(default_public):
+    assert added_ids(["hi <|endoftext|> there"]) == [[5303, 220, 50256, 612]]
+    texts = ADDED + EDGE + [a + b for a in ADDED for b in ADDED + EDGE] + [t or "" for _, t in ROWS]
+    assert added_ids(texts) == [e.ids for e in default_public.encode_batch(texts, add_special_tokens=False)]
+    assert added_ids(["", SPECIAL, ""]) == [[], [50256], []]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([SPECIAL, "<|", "|>", " ", "\n", "'s", "a", "é", "1"]), max_size=12).map("".join), max_size=6))
+def test_ids_of_random_texts_with_added_tokens(texts):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(VOCABULARY)
+    assert added_ids(texts) == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_pack_documents_with_added_tokens(spark, default_public):
+    rows = [(k, t) for k, t in enumerate(ADDED)] + [(100, f"word {SPECIAL} " * 1500), (101, None)]
+    got = packing.pack_documents(frame(spark, rows), VOCABULARY).collect()
+    check_packing(rows, default_public, got)
+    assert sum(r.ids.count(50256) for r in got) == sum((t or "").count(SPECIAL) for _, t in rows)
+
+
 def check_packing(rows, public, got):
     ids = {}
     for d, t in rows:
