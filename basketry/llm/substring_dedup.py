@@ -22,7 +22,10 @@ match in it:
    13 words names the smallest document that holds the window.
 4. An anchor in more than ``MAX_SHARD`` documents (a passage in a third of the
    corpus) has its contexts cut into single windows, which are shards of their
-   own, so that no shard is larger than that.
+   own. An anchor in fewer documents can still have more different contexts (a
+   phrase that long documents repeat with changing surroundings): these are
+   cut into windows, too, and merged by equality, so that no automaton holds
+   more than ``MAX_SHARD`` contexts (of at most 21 words).
 
 Words are compared by 48-bit hashes inside contexts that share an anchor of
 five words. Null text: no words; a null doc_id counts as the largest; rows
@@ -301,6 +304,33 @@ def _owners(words: DataFrame) -> DataFrame:
             .mapInArrow(run, "key long, context long, owners array<long>"))
 
 
+def _single_windows(words: DataFrame) -> DataFrame:
+    """The same for anchors with very many contexts: equal windows are merged
+    by a hash of their words."""
+    size = 6 * WINDOW
+
+    def run(batches):
+        for b in batches:
+            keys, contexts, firsts, owners, sums = [], [], [], [], []
+            for key, context, owner, body in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                n = len(body) // 6 - WINDOW + 1
+                keys += [key] * n
+                contexts += [context] * n
+                firsts += range(n)
+                owners += [owner] * n
+                sums += [hashlib.blake2b(body[i:i + size], digest_size=16).digest() for i in range(0, 6 * n, 6)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(firsts, pa.int64()), pa.array(owners, pa.int64()),
+                 pa.array(sums, pa.binary())], ["key", "context", "first", "owner", "window"])
+
+    windows = saved(words.select("key", "context", "owner", "words")
+                    .mapInArrow(run, "key long, context long, first long, owner long, window binary"), "passage-single-windows")
+    least = saved(windows.groupBy("key", "window").agg(F.min("owner").alias("least")), "passage-window-owners")
+    in_order = F.sort_array(F.collect_list(F.struct("first", "least")))
+    return (windows.join(least, ["key", "window"]).groupBy("key", "context").agg(in_order.alias("w"))
+            .select("key", "context", F.col("w.least").alias("owners")))
+
+
 def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(summaries of all rows with ``copy``: the word sequence is a smaller
     document's; texts of suspects; doc, text_hash, starts: windows that go)."""
@@ -321,8 +351,15 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     contexts = saved(_contexts(texts), "passage-contexts")
     one = ["key", "context"]
     distinct = saved(contexts.groupBy(*one).agg(F.min(F.struct("doc", "text_hash", "start", "size")).alias("at")), "passage-distinct")
-    shards = saved(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "passage-shards")
-    found = _owners(_words_of(texts, distinct.join(shards, "key").select(*one, "at.*")))
+    shards = saved(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+                   .select("key", (F.col("n") > MAX_SHARD).alias("many")), "passage-shards")
+
+    def words(of: DataFrame) -> DataFrame:
+        return _words_of(texts, distinct.join(of, "key").select(*one, "at.*"))
+
+    found = _owners(words(shards.where("not many")))
+    if not shards.where("many").isEmpty():       # rare: the texts are then read once more
+        found = found.unionByName(_single_windows(words(shards.where("many"))))
     # alone with its anchor: the smallest document of the context holds all its windows
     alone = F.array_repeat("at.doc", F.col("at.size") - WINDOW + 1)
     owners = saved(distinct.join(found, one, "left").select(*one, F.coalesce("owners", alone).alias("owners")), "passage-windows")

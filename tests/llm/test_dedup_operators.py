@@ -1,6 +1,7 @@
 """The deduplication operators against brute force on awkward rows."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from fixtures import SCHEMA, clashing, compare, corpus, exact_dedup, frame, line_dedup, near_groups, sha, substring_dedup, suffix_dedup
 from hypothesis import given, settings
@@ -12,6 +13,7 @@ import basketry.llm.line_dedup as line
 import basketry.llm.near_dedup as near
 import basketry.llm.substring_dedup as sub
 import basketry.llm.suffix_dedup as suffix
+from basketry.llm.text import Words, text_buffer
 
 ROWS = corpus()
 
@@ -82,6 +84,36 @@ def test_substring_dedup(spark, monkeypatch, shard):
     compare(_sub(frame(spark, ROWS)), substring_dedup(ROWS))
 
 
+def test_substring_dedup_of_an_anchor_with_many_contexts(spark, monkeypatch):
+    """Few documents that repeat a phrase with changing surroundings: no
+    automaton gets more than MAX_SHARD contexts, and the result is whole."""
+    import random
+    rng = random.Random(6)
+    # the phrase with the smallest hash of many: an anchor wherever it occurs
+    w = Words(*text_buffer(pa.array([" ".join(f"p{k}" for k in range(3000))])))
+    at, grams = w.windows(w.hashes(), sub.GRAM)
+    phrase = [f"p{at[grams.argmin()] + k}" for k in range(sub.GRAM)]
+    passages = [[f"q{rng.randint(0, 10**6)}" for _ in range(8)] + phrase + [f"q{rng.randint(0, 10**6)}" for _ in range(8)] for _ in range(12)]
+    rows = []
+    for i in range(4):
+        words = []
+        for k in range(60):
+            own = [f"o{rng.randint(0, 10**6)}" for _ in range(8)]
+            words += rng.choice(passages) if k % 5 == 0 else own + phrase + own[::-1]
+        rows.append((i * 3 % 4, " ".join(words)))
+    rows += [(7, rows[0][1] + " end"), (None, " ".join(passages[0] + passages[1]))] + ROWS
+    largest, solve = [], sub._owners
+
+    def spy(words):
+        largest.append(words.groupBy("key").count().agg(F.max("count")).first()[0])
+        return solve(words)
+
+    monkeypatch.setattr(sub, "MAX_SHARD", 20)
+    monkeypatch.setattr(sub, "_owners", spy)
+    compare(_sub(frame(spark, rows)), substring_dedup(rows))
+    assert len(largest) == 1 and 1 < largest[0] <= 20
+
+
 def test_drop_repeated_passages(spark):
     docs = clashing(frame(spark, ROWS))
     out = sub.drop_repeated_passages(docs)
