@@ -11,8 +11,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from basketry.llm.alignment import align_documents
 from basketry.llm.decontaminate import contaminated
 from basketry.llm.exact_dedup import exact_dedup
+from basketry.llm.filter_audit import filter_audit
 from basketry.llm.line_dedup import line_dedup
 from basketry.llm.near_dedup import near_groups
 from basketry.llm.packing import pack_documents
@@ -20,6 +22,7 @@ from basketry.llm.quality import quality_scores
 from basketry.llm.sharding import shard_rows
 from basketry.llm.substring_dedup import substring_dedup
 from basketry.llm.suffix_dedup import suffix_dedup
+from basketry.llm.token_files import read_token_files, write_token_files
 from basketry.llm.url_filter import url_verdicts
 from basketry.llm.workdir import ship_package
 
@@ -28,6 +31,9 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"),
              ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 RULE_SCHEMA = "host string, path string, verdict string"
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")     # drops white space before it merges
+PIECE_VOCABULARY = public_tokenizers.path("piece_bpe_32k.model")
+WORD_END_ID = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -80,9 +86,22 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_filter_audit(spark, sf_dir):
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_token_files(spark, sf_dir):
+    return read_token_files(write_token_files(table(spark, sf_dir, "documents"), WORD_VOCABULARY, WORD_END_ID, by_words=True))
+
+
+def op13_alignment(spark, sf_dir):
+    return align_documents(table(spark, sf_dir, "documents"), VOCABULARY, PIECE_VOCABULARY)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_decontamination, op2_packing, op3_sharding, op4_url_filter, op5_line_dedup, op6_near_dedup,
-    op7_quality, op8_substring_dedup, op9_exact_dedup, op10_suffix_dedup)}
+    op7_quality, op8_substring_dedup, op9_exact_dedup, op10_suffix_dedup,
+    op11_filter_audit, op12_token_files, op13_alignment)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACES = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -161,4 +180,29 @@ from u""",
 with a as (select doc_id, {_LOWER.format("coalesce(text, '')")} as t from documents)
 select doc_id, max(doc_id) over (partition by t) as keep_id, count(*) over (partition by t) as group_size,
        doc_id = max(doc_id) over (partition by t) as kept, sha256(t) as text_sha256 from a""",
+    "op11_filter_audit": """
+with recursive d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as t from documents),
+w as (select *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') as w, min(doc_id) over (partition by t) as first_doc from d),
+f as (select doc_id, part,
+             (len(w) < 200)::int + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::int
+             + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::int
+             + 8 * regexp_matches(t, '[#$%&*|]')::int + 16 * (first_doc < doc_id)::int as fails from w),
+l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+m as (select part, fails, count(*) as n, coalesce(sum(good), 0) as good, coalesce(sum(toxic), 0) as toxic
+      from f left join l using (doc_id) group by part, fails),
+x(letter, bit) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+-- letters appended one at a time: every order's steps are its prefixes
+o(seq, mask) as (select '', 0 union all select seq || letter, mask | bit from o, x where mask & bit = 0),
+s as (select o.seq as filter_order, step::int as step, substr(o.seq, step::int, 1) as letter, p.mask as before
+      from o, unnest(range(1, 6)) as r(step), o p where length(o.seq) = 5 and p.seq = substr(o.seq, 1, step::int - 1)),
+c as (select part, filter_order, step, letter,
+             coalesce(sum(n) filter (where fails & (before | bit) = 0), 0)::bigint as kept,
+             coalesce(sum(n) filter (where fails & bit > 0 and fails & before = 0), 0)::bigint as removed,
+             coalesce(sum(n) filter (where fails & bit > 0 and fails & before > 0), 0)::bigint as redundant,
+             coalesce(sum(n) filter (where fails = bit), 0)::bigint as unique_fails,
+             coalesce(sum(good) filter (where fails & bit > 0 and fails & before = 0), 0)::bigint as good_lost,
+             coalesce(sum(toxic) filter (where fails & bit > 0 and fails & before = 0), 0)::bigint as toxic_lost
+      from m, s join x using (letter) group by part, filter_order, step, letter)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       sum(removed) over (partition by part, letter)::bigint as shapley from c""",
 }
