@@ -1,18 +1,26 @@
 """Exact global ranking, NTILE and interpolated percentiles without a
-single-partition window and without sorting whole tables.
+single-partition window, without sorting whole tables and without a job of
+their own: every result is one lazy plan.
 
 ``ntile().over(Window.orderBy(...))`` and ``percentile`` over a whole table
 move every row (or every distinct value) into one task. A tile or percentile
-only depends on the rows at a few ranks, so those are found first:
+only depends on the rows at a few ranks. ``rows_at_ranks`` finds those rows in
+passes that each end in one row, an uncorrelated scalar subquery of the next:
+
+1. mergeable KLL sketches of each key's order, and exact counts of its rows and
+   NULLs. They bracket every wanted rank by two values;
+2. on large inputs, exact counts below and inside each bracket and a sketch of
+   its inside, which narrow it (or, should a rank lie outside, widen it);
+3. exact counts below the brackets, and the rows inside, which are sorted.
+
+Positions, not values, are sketched: value and tie key in one double. So one
+value that holds a third of the rows is cut by the tie key like any others, and
+what the last pass gathers is bounded by the sketch's error, not by the data.
+A bracket that misses its rank raises; it cannot give a wrong row.
 
-* ``rows_at_ranks`` cuts each value's range into buckets at approximate
-  quantiles, counts the buckets exactly (partial aggregation, one bounded
-  result), and ranks only the rows of the buckets that hold a wanted rank.
 * ``ntile_labels`` asks for the first row of each tile, a (value, tie) pair,
-  and labels every row where it is by comparing it with at most k - 1 of them:
-  no row moves for the ranking.
-* ``percentiles`` asks for the values around each percentile. A bucket that
-  holds one value only (a hot value) needs no ranking.
+  and labels every row where it is by comparing it with at most k - 1 of them.
+* ``percentiles`` asks for the values around each percentile.
 
 ``global_rank`` numbers the rows of a frame: range-partitioned on the full sort
 key plus a unique tie key (one value holding a third of the rows is still
@@ -23,28 +31,18 @@ once), with per-partition counts prefix-summed.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 
+from pyspark.errors import PySparkAttributeError
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from basketry.session import ensure_checkpoint_dir
 
 RANK = "_rank"
 TOTAL = "_total"
 VALID = "_valid"
-# target size of one range partition when the row count is known
-ROWS_PER_RANGE_PARTITION = 2_000_000
-
-
-def range_partitions(spark, rows: int) -> int:
-    """Range partitions for sorting ``rows`` rows: never fewer than the
-    session's shuffle partitions, and about ``ROWS_PER_RANGE_PARTITION``
-    rows each on large inputs (AQE can merge small partitions but never
-    splits a range partition)."""
-    base = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(base, -(-int(rows) // ROWS_PER_RANGE_PARTITION))
 
 
 def _sort_keys(order: Sequence[Column], tie: Sequence[str]) -> list[Column]:
@@ -94,158 +92,208 @@ def global_rank(df: DataFrame, order: Sequence[Column], tie: Sequence[str],
 
 # (column, descending): NULLs come first in ascending and last in descending order
 Key = tuple[str, bool]
-SKETCH_GROUPS = 1000
-
-
-def _exact_type(df: DataFrame, keys: Mapping[str, Key]) -> str:
-    types = [df.schema[c].dataType.simpleString() for c, _ in keys.values()]
-    return "double" if any(t in ("double", "float") for t in types) else "decimal(38,6)"
-
-
-def _bucketed(df: DataFrame, keys: Mapping[str, Key], n_buckets: int, accuracy: int) -> DataFrame:
-    """``df`` plus ``_b_<name>``: non-decreasing in the key's order.
-
-    Edges are approximate quantiles. Sketches are merged in two levels: over
-    at most SKETCH_GROUPS groups of tasks, then the groups' quantiles, so no
-    task merges one sketch per task of a wide job. They only choose the
-    buckets; all counts are exact."""
-    from pyspark.ml.feature import Bucketizer
-
-    sign = {n: -1.0 if desc else 1.0 for n, (_, desc) in keys.items()}
-    df = df.withColumns({f"_o_{n}": F.col(c).cast("double") * F.lit(sign[n]) for n, (c, _) in keys.items()})
-    qs = [i / n_buckets for i in range(1, n_buckets)]
-
-    def quantiles():
-        return [F.percentile_approx(f"_o_{n}", qs, accuracy).alias(f"_o_{n}") for n in keys]
-
-    groups = df.groupBy((F.spark_partition_id() % SKETCH_GROUPS).alias("_g")).agg(*quantiles())
-    values = groups.select(F.explode(F.arrays_zip(*[f"_o_{n}" for n in keys])).alias("z")).select("z.*")
-    found = values.agg(*quantiles()).first()
-    for n, (c, desc) in keys.items():
-        at = [x for x in (found[f"_o_{n}"] or []) if x is not None]
-        # a value at several quantiles is hot: the next edge closes its bucket
-        edges = sorted({*at, *(math.nextafter(x, math.inf) for x, y in zip(at, at[1:]) if x == y)})
-        if edges:
-            buckets = Bucketizer(splits=[float("-inf"), *edges, float("inf")], inputCol=f"_f_{n}", outputCol=f"_z_{n}",
-                                 handleInvalid="keep")
-            df = buckets.transform(df.withColumn(f"_f_{n}", F.coalesce(f"_o_{n}", F.lit(0.0)))).drop(f"_f_{n}")
-        else:
-            df = df.withColumn(f"_z_{n}", F.lit(0.0))
-        df = df.withColumn(f"_b_{n}", F.when(F.col(f"_o_{n}").isNull(), F.lit(len(edges) + 1 if desc else -1))
-                           .otherwise(F.col(f"_z_{n}").cast("int"))).drop(f"_z_{n}")
-    return df
-
-
-def rows_at_ranks(df: DataFrame, keys: Mapping[str, Key], tie: str,
-                  wanted: Callable[[str, int, int], Sequence[int]], need_tie: bool = True,
-                  n_buckets: int = 256, accuracy: int = 1_000) -> dict[str, dict[int, tuple]]:
-    """For each key the (value, tie) of the rows at the 0-based ranks that
-    ``wanted(name, rows, nulls)`` names, in the order (value, tie ascending).
-
-    ``df`` is read several times: pass a stored frame. Without ``need_tie``
-    only the values are exact."""
-    b = _bucketed(df, keys, n_buckets, accuracy)
-    cells = F.array(*[F.struct(F.lit(n).alias("k"), F.col(f"_b_{n}").alias("b"), F.col(f"_o_{n}").alias("o")) for n in keys])
-    counts = (b.select(F.explode(cells).alias("c")).groupBy("c.k", "c.b")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("c.o").alias("lo"), F.max("c.o").alias("hi"))
-              .select("k", "b", "n", "lo", "hi").collect())     # at most n_buckets + 1 rows a key
-    out: dict[str, dict[int, tuple]] = {n: {} for n in keys}
-    to_sort, ranks, offset = [], [], 0
-    for n, (_, desc) in keys.items():
-        cells_ = sorted((c for c in counts if c["k"] == n), key=lambda c: c["b"])
-        total = sum(c["n"] for c in cells_)
-        nulls = sum(c["n"] for c in cells_ if c["lo"] is None)
-        asked = sorted({r for r in wanted(n, total, nulls) if 0 <= r < total})
-        start = 0
-        for c in cells_:
-            mine = [r for r in asked if start <= r < start + c["n"]]
-            if mine and not need_tie and c["lo"] == c["hi"]:
-                value = None if c["lo"] is None else -c["lo"] if desc else c["lo"]
-                out[n].update({r: (value, None) for r in mine})
-            elif mine:
-                to_sort.append((n, c["b"]))
-                ranks += [(offset + r - start, n, r) for r in mine]
-                offset += c["n"]
-            start += c["n"]
-    if not to_sort:
-        return out
-    kind = _exact_type(df, keys)
-    picked = F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"_b_{n}").alias("b"),
-                                F.col(c).cast(kind).alias("v"),
-                                (F.col(c).cast(kind) * F.lit(-1 if desc else 1)).alias("o"))
-                       for i, (n, (c, desc)) in enumerate(keys.items())])
-    names = list(keys)
-    needed = F.lit(False)
-    for n, bucket in to_sort:
-        needed = needed | ((F.col("c.k") == names.index(n)) & (F.col("c.b") == bucket))
-    rows = b.select(F.explode(picked).alias("c"), F.col(tie).alias("t")).where(needed).select("c.k", "c.b", "c.v", "c.o", "t")
-    placed = global_rank(rows, [F.col("k").asc(), F.col("b").asc(), F.col("o").asc_nulls_first()], ["t"],
-                         num_partitions=range_partitions(df.sparkSession, offset))
-    found = {r[RANK]: r for r in placed.where(F.col(RANK).isin([x[0] for x in ranks])).collect()}
-    for at, n, r in ranks:
-        out[n][r] = (found[at]["v"], found[at]["t"])
-    return out
-
-
-def tile_start(tile: int, rows: int, k: int) -> int:
-    """0-based rank of the first row of NTILE(k)'s 1-based ``tile``."""
-    return (tile - 1) * (rows // k) + min(tile - 1, rows % k)
-
-
-def _from_cut(key: Key, tie: str, cut: tuple) -> Column:
+# SQL of a key's number of rows and of NULLs -> SQL of the wanted 0-based ranks
+Ranks = Callable[[str, str], Sequence[str]]
+SKETCH_K = 4096
+GRID = 1024              # quantiles that are read off a sketch
+# of the rows, on each side of a rank: four times the sketch's 99 % rank error
+MARGIN = 0.005
+# above so many bytes in the files read, brackets are narrowed before rows are gathered
+NARROW_BYTES = 4 << 30
+LOWEST, HIGHEST = "-1.7e308D", "1.7e308D"
+# an array constant: the quantile function takes no others
+QUANTILES = "cast(split('{}', ',') as array<double>)".format(",".join(str(i / GRID) for i in range(GRID + 1)))
+
+
+def _input_bytes(df: DataFrame) -> float:
+    """What the optimizer knows of the size of the files below ``df``."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    except (AttributeError, PySparkAttributeError):      # Spark Connect: unknown
+        return float("inf")
+    return sum(float(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+
+
+def _spacing(kind: T.DataType) -> float:
+    """Least distance of two values of an exact type; 0 for a float."""
+    if isinstance(kind, T.DecimalType):
+        return 10.0 ** -kind.scale
+    if isinstance(kind, T.IntegralType):
+        return 1.0
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return 0.0
+    raise TypeError(f"can't rank by {kind.simpleString()}")
+
+
+def _positions(df: DataFrame, keys: Sequence[Key], tie: str, more: Sequence[str] = ()) -> DataFrame:
+    """``_t`` and, for the i-th key, value ``_v{i}``, order value ``_o{i}`` and
+    position ``_c{i}``: ascending like (order value, tie), among the NULL rows
+    like the tie."""
+    t = f"cast(`{tie}` as double)"
+    fraction = f"CASE WHEN `{tie}` IS NULL THEN 0D ELSE 0.5D + signum({t}) * log2(1D + abs({t})) / 130D END"
+    if not isinstance(df.schema[tie].dataType, T.IntegralType):
+        fraction = "0D"
+    out = [f"`{tie}` AS _t", *more]
+    for i, (column, descending) in enumerate(keys):
+        order, step = f"-`{column}`" if descending else f"`{column}`", _spacing(df.schema[column].dataType)
+        base = f"cast({order} as double)"
+        # the tie moves a position by less than the distance to the next value
+        moved = f"CASE WHEN abs({base}) < {step * 2.0 ** 40!r}D THEN {base} + ({fraction}) * {0.99 * step!r}D ELSE {base} END" if step else base
+        out += [f"`{column}` AS _v{i}", f"{order} AS _o{i}", f"CASE WHEN `{column}` IS NULL THEN {fraction} ELSE {moved} END AS _c{i}"]
+    return df.selectExpr(*out)
+
+
+def _bracket(quantiles: str, rank: str, n: str) -> tuple[str, str]:
+    """SQL of two positions that a rank lies between, but for rare errors of
+    the sketch whose GRID + 1 ``quantiles`` these are."""
+    low = f"cast(floor(({rank} - {MARGIN!r}D * {n} - 2) * {GRID}D / nullif({n}, 0)) as int)"
+    high = f"cast(ceil(({rank} + {MARGIN!r}D * {n} + 2) * {GRID}D / nullif({n}, 0)) as int)"
+    return (f"CASE WHEN {low} <= 0 THEN {LOWEST} ELSE get({quantiles}, {low}) END",
+            f"CASE WHEN {high} >= {GRID} THEN {HIGHEST} ELSE get({quantiles}, {high}) END")
+
+
+def _sketched(rows: DataFrame, keys: Sequence[Key], ranks: Sequence[Ranks], extra: Sequence[Column]) -> DataFrame:
+    """One row: ``_k{i}``, an array of brackets {known, nulls, rank, low, high}
+    for the i-th key's wanted ranks, and the ``extra`` aggregates."""
+    sums, quantiles, out = [], [], []
+    for i, ((_, descending), wanted) in enumerate(zip(keys, ranks, strict=True)):
+        n, valid, nulls = f"_n{i}", f"_m{i}", f"(_n{i} - _m{i})"
+        sums += [f"count(1) AS {n}", f"count(_v{i}) AS {valid}",
+                 f"kll_sketch_agg_double(_c{i}, {SKETCH_K}) FILTER (WHERE _v{i} IS NOT NULL) AS _s{i}",
+                 f"kll_sketch_agg_double(_c{i}, {SKETCH_K}) FILTER (WHERE _v{i} IS NULL) AS _z{i}"]
+        quantiles += [f"CASE WHEN {count} > 0 THEN kll_sketch_get_quantile_double({s}{i}, {QUANTILES}) END AS {s}{i}"
+                      for s, count in (("_s", valid), ("_z", nulls))]
+        in_nulls, inside = (f"r >= {valid}", f"r - IF(r >= {valid}, {valid}, 0)") if descending else \
+            (f"r < {nulls}", f"r - IF(r < {nulls}, 0, {nulls})")
+        (a, b), (c, d) = _bracket(f"_z{i}", "r.x", nulls), _bracket(f"_s{i}", "r.x", valid)
+        # the lambda's x: the rank among the rows of its kind
+        out.append(f"""transform(transform(array({", ".join(wanted(n, nulls))}),
+            r -> struct(r >= 0 AND r < {n} AS known, {in_nulls} AS nulls, cast({inside} as bigint) AS x)),
+            r -> struct(r.known AS known, r.nulls AS nulls, r.x AS rank, IF(r.nulls, {a}, {c}) AS low, IF(r.nulls, {b}, {d}) AS high)) AS _k{i}""")
+    one = rows.agg(*map(F.expr, sums), *extra)
+    more = one.columns[4 * len(keys):]
+    return one.selectExpr("*", *[q.replace(" AS _", " AS _q") for q in quantiles]).selectExpr(
+        *[o.replace("_z", "_qz").replace("_s", "_qs") for o in out], *[f"`{c}`" for c in more])
+
+
+def _inside(b: str, i: int) -> tuple[str, str]:
+    """Whether a row of the bracket's kind (NULL or not) stands below it, and
+    whether it stands inside."""
+    kind = f"{b}.known AND {b}.nulls = (_v{i} IS NULL)"
+    return f"{kind} AND _c{i} < {b}.low", f"{kind} AND _c{i} >= {b}.low AND _c{i} <= {b}.high"
+
+
+def _narrowed(rows: DataFrame, counts: Sequence[int]) -> DataFrame:
+    """The brackets of ``rows``' column ``_found``, from a sketch of their
+    insides; a rank that lies outside takes the rest of its side."""
+    sums, quantiles, out = ["first(_found) AS _found"], [], []
+    for i, n in enumerate(counts):
+        brackets = []
+        for j in range(n):
+            b, x = f"_found._k{i}[{j}]", f"{i}_{j}"
+            below, inside = _inside(b, i)
+            sums += [f"count_if({below}) AS _b{x}", f"count_if({inside}) AS _m{x}",
+                     f"kll_sketch_agg_double(_c{i}, {SKETCH_K}) FILTER (WHERE {inside}) AS _s{x}"]
+            quantiles.append(f"CASE WHEN _m{x} > 0 THEN kll_sketch_get_quantile_double(_s{x}, {QUANTILES}) END AS _q{x}")
+            low, high = _bracket(f"_q{x}", f"({b}.rank - _b{x})", f"_m{x}")
+            before, after = f"{b}.rank < _b{x}", f"{b}.rank >= _b{x} + _m{x}"
+            brackets.append(f"""named_struct('known', {b}.known, 'nulls', {b}.nulls, 'rank', {b}.rank,
+                'low', CASE WHEN {before} THEN {LOWEST} WHEN {after} THEN {b}.high ELSE greatest({low}, {b}.low) END,
+                'high', CASE WHEN {before} THEN {b}.low WHEN {after} THEN {HIGHEST} ELSE least({high}, {b}.high) END)""")
+        out.append(f"array({', '.join(brackets)}) AS _k{i}")
+    return rows.agg(*map(F.expr, sums)).selectExpr("*", *quantiles).selectExpr(*out)
+
+
+def rows_at_ranks(df: DataFrame, keys: Mapping[str, Key], tie: str, ranks: Mapping[str, Ranks],
+                  extra: Sequence[Column] = (), narrow: bool | None = None) -> DataFrame:
+    """One row, lazily: for each key an array with the {v, t} (value, tie) of
+    the rows at the wanted ranks in the order (value, tie ascending), NULL
+    where there is no such rank; ``extra``: further aggregates of ``df``.
+
+    ``tie`` is unique. ``df`` is evaluated once a pass; an exchange in it is
+    planned once and read by every pass. The rows of one hot value of a float
+    key are gathered for its tie; keys of other types have no such rows."""
+    names, pairs, wanted = list(keys), list(keys.values()), [ranks[name] for name in keys]
+    counts = [len(w("0", "0")) for w in wanted]
+    # the first pass has the columns that ``extra`` aggregates, the others only what ranks need
+    found = _sketched(_positions(df, pairs, tie, ["*"] if extra else []), pairs, wanted, extra)
+    rows = _positions(df, pairs, tie)
+    brackets, more = [f"_k{i}" for i in range(len(pairs))], found.columns[len(pairs):]
+    first = found
+    if _input_bytes(df) > NARROW_BYTES if narrow is None else narrow:
+        found = _narrowed(rows.withColumn("_found", _scalar(found, brackets)), counts)
+    sums, out = ["first(_found) AS _found"], []
+    for i, n in enumerate(counts):
+        tests = [_inside(f"_found._k{i}[{j}]", i) for j in range(n)]
+        sums += [f"count_if({below}) AS _b{i}_{j}" for j, (below, _) in enumerate(tests)]
+        sums.append(f"collect_list(named_struct('o', _o{i}, 't', _t, 'c', _c{i}, 'v', _v{i})) FILTER (WHERE "
+                    + " OR ".join(f"({inside})" for _, inside in tests) + f") AS _r{i}")
+        # a NULL row's position and a value's may be alike: each cut looks at rows of its kind
+        out.append(f"""transform(zip_with(_found._k{i}, array({", ".join(f"_b{i}_{j}" for j in range(n))}), (b, below) -> struct(b, below)), x ->
+            CASE WHEN x.b.known THEN coalesce(
+                get(transform(filter(_r{i}, r -> (r.v IS NULL) = x.b.nulls AND r.c >= x.b.low AND r.c <= x.b.high), r -> struct(r.v AS v, r.t AS t)),
+                    cast(x.b.rank - x.below as int)),
+                raise_error('a sketch\\'s bracket misses its rank')) END) AS `{names[i]}`""")
+    one = rows.withColumn("_found", _scalar(found, brackets)).agg(*map(F.expr, sums))
+    in_order = [f"sort_array(_r{i}) AS _r{i}" for i in range(len(pairs))]      # by o, then t, NULLs first
+    kept = ["_found", *(f"_b{i}_{j}" for i, n in enumerate(counts) for j in range(n))]
+    result = one.selectExpr(*kept, *in_order).selectExpr(*out)
+    if more:
+        result = result.withColumn("_more", _scalar(first, more)).selectExpr(*[f"`{n}`" for n in names], *[f"_more.`{c}` AS `{c}`" for c in more])
+    return result
+
+
+def _scalar(one: DataFrame, columns: Sequence[str]) -> Column:
+    """The one row of ``one`` as a scalar subquery: it stands in one column,
+    that each row of the next pass points to."""
+    return one.selectExpr(f"struct({', '.join(f'`{c}`' for c in columns)}) AS _row").scalar()
+
+
+def tile_start(tile: int, rows: str, k: int) -> str:
+    """SQL of the 0-based rank of the first row of NTILE(k)'s 1-based
+    ``tile``; -1 for a tile without rows."""
+    return f"IF({tile} <= {rows}, {tile - 1} * ({rows} div {k}) + least({tile - 1}, {rows} % {k}), -1)"
+
+
+def _from_cut(key: Key, tie: str, cut: str) -> str:
     """Whether a row stands at or after ``cut`` in the order (value, tie)."""
     column, descending = key
-    value, at = cut
-    v, t = F.col(column), F.col(tie)
-    same = F.lit(True) if at is None else F.coalesce(t >= F.lit(at), F.lit(False))
-    if value is None:
-        return F.when(v.isNull(), same).otherwise(F.lit(not descending))
-    lit = F.lit(value)
-    after = (v < lit) if descending else (v > lit)
-    return F.when(v.isNull(), F.lit(descending)).otherwise(after | ((v == lit) & same))
+    same = f"({cut}.t IS NULL OR coalesce(`{tie}` >= {cut}.t, false))"
+    return f"""CASE WHEN {cut} IS NULL THEN false
+        WHEN {cut}.v IS NULL THEN IF(`{column}` IS NULL, {same}, {str(not descending).lower()})
+        WHEN `{column}` IS NULL THEN {str(descending).lower()}
+        ELSE `{column}` {"<" if descending else ">"} {cut}.v OR (`{column}` = {cut}.v AND {same}) END"""
 
 
 def ntile_labels(df: DataFrame, k: int, keys: Mapping[str, Key], tie: str,
-                 tiles: Sequence[int] | None = None, n_buckets: int = 256) -> DataFrame:
+                 tiles: Sequence[int] | None = None, narrow: bool | None = None) -> DataFrame:
     """``df`` plus, for each key, a column with NTILE(k) OVER (ORDER BY value,
     tie), exact. With ``tiles`` only the boundaries where these tiles start
     are looked up, and the label counts the boundaries passed.
 
-    ``tie`` must be unique. ``df`` is checkpointed once and read a few times;
-    its rows are labelled in place."""
-    ensure_checkpoint_dir(df.sparkSession)
-    stored = df.checkpoint(eager=True)
+    ``tie`` must be unique. Lazy: the cut points are a scalar subquery of the
+    frame, whose rows are labelled in place."""
     tiles = list(tiles or range(2, k + 1))
-
-    def starts(_, rows, nulls):
-        return [tile_start(j, rows, k) for j in tiles]
-
-    cuts = rows_at_ranks(stored, keys, tie, starts, n_buckets=n_buckets)
-    labels = {}
-    for out, key in keys.items():
-        passed = [_from_cut(key, tie, cut).cast("bigint") for cut in cuts[out].values()]
-        labels[out] = sum(passed, F.lit(1).cast("bigint"))
-    return stored.withColumns(labels)
+    if not tiles:
+        return df.withColumns({out: F.lit(1).cast("bigint") for out in keys})
+    cuts = rows_at_ranks(df, keys, tie, {name: lambda n, _: [tile_start(j, n, k) for j in tiles] for name in keys}, narrow=narrow)
+    labels = {out: F.expr("cast(1 + " + " + ".join(f"cast({_from_cut(key, tie, f'_cuts.`{out}`[{i}]')} as int)" for i in range(len(tiles)))
+                          + " as bigint)") for out, key in keys.items()}
+    return df.withColumn("_cuts", _scalar(cuts, list(keys))).withColumns(labels).drop("_cuts")
 
 
 def percentiles(df: DataFrame, value: str, ps: Mapping[str, float], tie: str,
-                n_buckets: int = 256) -> dict[str, float | None]:
-    """Exact continuous percentiles of the non-null values: linear
-    interpolation between the values at floor and ceil of ``p * (N - 1)``."""
-    sizes = {}
-
-    def around(name, rows, nulls):
-        n = sizes["n"] = rows - nulls
-        sizes["nulls"] = nulls
-        return [nulls + f(p * (n - 1)) for p in ps.values() for f in (math.floor, math.ceil)] if n else []
-
-    found = rows_at_ranks(df.select(value, tie), {"v": (value, False)}, tie, around, need_tie=False, n_buckets=n_buckets)["v"]
-    out: dict[str, float | None] = {}
-    for name, p in ps.items():
-        if not sizes.get("n"):
-            out[name] = None
-            continue
-        pos = p * (sizes["n"] - 1)
-        lo, hi = (float(found[sizes["nulls"] + f(pos)][0]) for f in (math.floor, math.ceil))
-        out[name] = lo + (hi - lo) * (pos - math.floor(pos))
-    return out
+                extra: Sequence[Column] = (), narrow: bool | None = None) -> DataFrame:
+    """One row, lazily: exact continuous percentiles of the non-null values
+    (linear interpolation between the values at floor and ceil of
+    ``p * (N - 1)``) as doubles, and the ``extra`` aggregates."""
+
+    def around(rows, nulls):
+        return [f"IF({rows} > {nulls}, {nulls} + {f}({p!r}D * ({rows} - {nulls} - 1)), -1)" for p in ps.values() for f in ("floor", "ceil")]
+
+    found = rows_at_ranks(df, {"_p": (value, False)}, tie, {"_p": around}, [F.count(value).alias("_valid"), *extra], narrow)
+    columns = []
+    for i, (name, p) in enumerate(ps.items()):
+        at, (low, high) = f"{p!r}D * (_valid - 1)", (f"cast(_p[{2 * i + j}].v as double)" for j in (0, 1))
+        columns.append(f"{low} + ({high} - {low}) * ({at} - floor({at})) AS `{name}`")
+    return found.selectExpr(*columns, *[f"`{c}`" for c in found.columns[2:]])

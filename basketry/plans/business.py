@@ -17,6 +17,7 @@ from basketry.operators.shares import share_of_total
 from basketry.operators.topn import top_n_joined
 from basketry.plans.catalog import entry
 from basketry.plans.explore import REV, per_product, sales_per_customer
+from basketry.plans.lattice import distinct_of_sales, measures
 from basketry.plans.marts import rfm_scores
 from basketry.plans.tables import Tables
 
@@ -26,7 +27,14 @@ from basketry.plans.tables import Tables
 @entry("B01", "north_star")
 def north_star(t: Tables) -> DataFrame:
     """Net sales revenue, active customers and revenue per active customer."""
-    return t.sales.agg(F.sum(REV).alias("_rev"), F.countDistinct("customer_id").alias("_n")).select(
+    if "lattice" in t.shared:
+        sales = F.col("refund_flag") == L.SALE
+        customers = distinct_of_sales(t, "month_customers", [], "_n", sales)
+        one = (measures(t, ["refund_flag"]).where(sales).agg(F.sum("sum_rev").alias("_rev"))
+               .withColumn("_n", customers.scalar()))
+    else:
+        one = t.sales.agg(F.sum(REV).alias("_rev"), F.countDistinct("customer_id").alias("_n"))
+    return one.select(
         round_half_up("_rev").alias("net_revenue"),
         F.col("_n").alias("active_customers"),
         round_half_up(ratio("_rev", "_n")).alias("revenue_per_active_customer"))
@@ -38,11 +46,11 @@ def gross_vs_refunds(t: Tables) -> DataFrame:
     refunded as a percentage of *sales* revenue."""
     is_refund = F.col("refund_flag") == L.REFUND
     is_sale = F.col("refund_flag") == L.SALE
-    agg = t.tx.agg(
-        F.sum(REV).alias("_all"),
-        F.sum(F.when(is_refund, F.col(REV)).otherwise(F.lit(0))).alias("_refunded"),
-        count_if(is_refund).alias("total_refund_transactions"),
-        F.sum(F.when(is_sale, F.col(REV)).otherwise(F.lit(0))).alias("_sales"))
+    agg = measures(t, ["refund_flag"]).agg(
+        F.sum("sum_rev").alias("_all"),
+        F.sum(F.when(is_refund, F.col("sum_rev")).otherwise(F.lit(0))).alias("_refunded"),
+        F.coalesce(F.sum(F.when(is_refund, F.col("n_rows"))), F.lit(0)).cast("long").alias("total_refund_transactions"),
+        F.sum(F.when(is_sale, F.col("sum_rev")).otherwise(F.lit(0))).alias("_sales"))
     return agg.select(as_double("_all").alias("gross_revenue"),
                       as_double("_refunded").alias("total_refunded"),
                       "total_refund_transactions",
@@ -52,7 +60,8 @@ def gross_vs_refunds(t: Tables) -> DataFrame:
 @entry("B03", "revenue_concentration")
 def revenue_concentration(t: Tables) -> DataFrame:
     """NTILE(20) of sales by revenue (exact; ties by transaction_id): top
-    tile vs the rest. Only the first row of the top tile is looked up."""
+    tile vs the rest. Only the first row of the top tile is looked up, as a
+    scalar subquery of the plan."""
     tiles = ntile_labels(t.sales.select("transaction_id", REV), L.REVENUE_TILES,
                          {"_top": (REV, False)}, "transaction_id", tiles=[L.REVENUE_TILES])
     segment = F.when(F.col("_top") == 2, F.lit(L.TOP_5_PCT)).otherwise(F.lit(L.BOTTOM_95_PCT))
@@ -79,13 +88,13 @@ def mom_growth(t: Tables) -> DataFrame:
 
 @entry("B05", "discount_impact")
 def discount_impact(t: Tables) -> DataFrame:
-    price_type = F.when(F.col("discount_applied") > 0, F.lit(L.DISCOUNTED)) \
-        .otherwise(F.lit(L.FULL_PRICE))
-    agg = t.sales.groupBy(price_type.alias("price_type")).agg(
-        F.count(F.lit(1)).alias("total_transactions"),
-        round_half_up(mean(REV)).alias("avg_order_value"),
-        round_half_up(mean("discount_applied")).alias("avg_discount"),
-        round_half_up(F.sum(REV)).alias("total_revenue"))
+    price_type = F.when(F.col("discounted"), F.lit(L.DISCOUNTED)).otherwise(F.lit(L.FULL_PRICE))
+    sales = measures(t, ["refund_flag", "discounted"]).where(F.col("refund_flag") == L.SALE)
+    agg = sales.groupBy(price_type.alias("price_type")).agg(
+        F.sum("n_rows").alias("total_transactions"),
+        round_half_up(ratio(F.sum("sum_rev"), F.sum("n_rev"))).alias("avg_order_value"),
+        round_half_up(ratio(F.sum("sum_discount"), F.sum("n_discount"))).alias("avg_discount"),
+        round_half_up(F.sum("sum_rev")).alias("total_revenue"))
     return share_of_total(agg, "total_transactions", "pct_of_transactions")
 
 
@@ -136,7 +145,7 @@ def revenue_by_frequency(t: Tables) -> DataFrame:
 
 @entry("B09", "loyalty_retention")
 def loyalty_retention(t: Tables) -> DataFrame:
-    per_customer = t.sales.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    per_customer = sales_per_customer(t).select("customer_id", F.col("n_rows").alias("n"))
     joined = t.cu.select("customer_id", "loyalty_tier").join(per_customer, "customer_id")
     return joined.groupBy("loyalty_tier").agg(
         F.count(F.lit(1)).alias("total_customers"),
@@ -150,10 +159,17 @@ def loyalty_retention(t: Tables) -> DataFrame:
 @entry("B10", "channel_performance")
 def channel_performance(t: Tables) -> DataFrame:
     """All transactions (refunds included) attributed to a campaign, by
-    channel. Facts are reduced to (campaign, transaction) before they meet
-    the campaigns."""
-    return (_per_campaign(t.tx, "transaction_id").join(t.ca.select("campaign_id", "channel"), "campaign_id")
-            .groupBy("channel", "transaction_id").agg(*_summed())
+    channel. The narrow facts meet the campaigns first (broadcast, if Spark
+    finds them small); one exchange, by (channel, transaction) with partial
+    sums, then counts distinct transactions and sums at once."""
+    if "lattice" in t.shared:
+        return _from_lattice(t, "channel", None, {"campaign_transactions": "total_transactions"}, [
+            round_half_up(F.sum(F.when(F.col("refund_flag") == L.SALE, F.col("sum_rev")).otherwise(F.lit(0)))).alias("net_revenue"),
+            round_half_up(ratio(F.sum("sum_rev"), F.sum("n_rev"))).alias("avg_order_value"),
+            pct(F.sum(F.col("refund_flag") * F.col("n_rows")), F.sum("n_rows")).alias("refund_rate_pct")]).select(
+                "channel", "total_transactions", "net_revenue", "avg_order_value", "refund_rate_pct")
+    return (_of_campaigns(t.tx, t, "channel")
+            .groupBy("channel", "transaction_id").agg(*_campaign_sums())
             .groupBy("channel").agg(
                 F.count("transaction_id").alias("total_transactions"),
                 round_half_up(F.sum("_sales")).alias("net_revenue"),
@@ -161,17 +177,30 @@ def channel_performance(t: Tables) -> DataFrame:
                 pct(F.sum("_refunds"), F.sum("_rows")).alias("refund_rate_pct")))
 
 
-def _per_campaign(tx: DataFrame, key: str) -> DataFrame:
-    """Transactions with a campaign, summed by campaign and ``key``: a hot
-    campaign is spread over its keys."""
-    sale_or_zero = F.when(F.col("refund_flag") == L.SALE, F.col(REV)).otherwise(F.lit(0))
-    return tx.where(F.col("campaign_id").isNotNull()).groupBy("campaign_id", key).agg(
-        F.sum(REV).alias("_rev"), F.count(REV).alias("_n_rev"), F.sum(sale_or_zero).alias("_sales"),
-        F.sum(F.col("refund_flag").cast("int")).alias("_refunds"), F.count(F.lit(1)).alias("_rows"))
+def _from_lattice(t: Tables, label: str, where: F.Column | None, distinct: dict[str, str], sums: list[F.Column]) -> DataFrame:
+    """Per campaign ``label``: ``sums`` over the stored campaign summary, and
+    the distinct counts of the kept ids, each under its name."""
+    campaigns = t.ca.select("campaign_id", label)
+    facts = measures(t, ["campaign_id", "refund_flag"])
+    out = (facts.where(where) if where is not None else facts).join(campaigns, "campaign_id").groupBy(label).agg(*sums)
+    for name, column in distinct.items():
+        counts = distinct_of_sales(t, name, [label], column, where, campaigns, "campaign_id").withColumnRenamed(label, f"_{column}")
+        # a row for each label on both sides
+        out = (out.join(counts, F.col(label).eqNullSafe(F.col(f"_{column}")), "left").drop(f"_{column}")
+               .withColumn(column, F.coalesce(column, F.lit(0)).cast("long")))
+    return out
 
 
-def _summed() -> list[F.Column]:
-    return [F.sum(c).alias(c) for c in ("_rev", "_n_rev", "_sales", "_refunds", "_rows")]
+def _of_campaigns(tx: DataFrame, t: Tables, label: str) -> DataFrame:
+    """Transactions with a campaign, narrow, with the campaign's ``label``."""
+    facts = tx.select("campaign_id", "transaction_id", "customer_id", REV, "refund_flag").where(F.col("campaign_id").isNotNull())
+    return facts.join(t.ca.select("campaign_id", label), "campaign_id")
+
+
+def _campaign_sums() -> list[F.Column]:
+    sale_or_zero = F.when(F.col("refund_flag") == L.SALE, F.col(REV)).otherwise(F.lit(0))
+    return [F.sum(REV).alias("_rev"), F.count(REV).alias("_n_rev"), F.sum(sale_or_zero).alias("_sales"),
+            F.sum(F.col("refund_flag").cast("int")).alias("_refunds"), F.count(F.lit(1)).alias("_rows")]
 
 
 def campaign_conversion(t: Tables) -> DataFrame:
@@ -212,20 +241,24 @@ def uplift_vs_conversion_points(t: Tables) -> DataFrame:
 
 @entry("B13", "objective_performance")
 def objective_performance(t: Tables) -> DataFrame:
-    """Sales by campaign objective. Distinct transactions and customers are
-    counted after one aggregation each by (campaign, id); no row is expanded."""
-    ca = t.ca.select("campaign_id", "objective")
-    sums = (_per_campaign(t.sales, "transaction_id").join(ca, "campaign_id")
-            .groupBy("objective", "transaction_id").agg(*_summed())
-            .groupBy("objective").agg(
-                F.count("transaction_id").alias("total_transactions"),
-                round_half_up(F.sum("_rev")).alias("gross_revenue_clean"),
-                round_half_up(ratio(F.sum("_rev"), F.sum("_n_rev"))).alias("avg_order_value")))
-    customers = (t.sales.where(F.col("campaign_id").isNotNull()).select("campaign_id", "customer_id").distinct()
-                 .join(ca, "campaign_id").select("objective", "customer_id").distinct()
-                 .groupBy("objective").agg(F.count("customer_id").alias("unique_customers")))
-    # one row per objective on both sides
-    return sums.join(customers.withColumnRenamed("objective", "_o"), F.col("objective").eqNullSafe(F.col("_o"))).drop("_o")
+    """Sales by campaign objective, from one scan and one exchange: each fact
+    is a row for its transaction, with the sums, and a row for its customer;
+    partial sums by (objective, kind, id) leave a row for each different one."""
+    if "lattice" in t.shared:
+        return _from_lattice(t, "objective", F.col("refund_flag") == L.SALE,
+                             {"campaign_transactions": "total_transactions", "campaign_customers": "unique_customers"},
+                             [round_half_up(F.sum("sum_rev")).alias("gross_revenue_clean"),
+                              round_half_up(ratio(F.sum("sum_rev"), F.sum("n_rev"))).alias("avg_order_value")]).select(
+                                 "objective", "total_transactions", "gross_revenue_clean", "avg_order_value", "unique_customers")
+    kinds = F.array(F.struct(F.lit(True).alias("is_tx"), F.col("transaction_id").alias("id"), F.col(REV).alias("rev")),
+                    F.struct(F.lit(False).alias("is_tx"), F.col("customer_id").alias("id"), F.lit(None).cast("decimal(18,2)").alias("rev")))
+    ids = (_of_campaigns(t.sales, t, "objective").select("objective", F.inline(kinds))
+           .groupBy("objective", "is_tx", "id").agg(F.sum("rev").alias("_rev"), F.count("rev").alias("_n_rev")))
+    return ids.groupBy("objective").agg(
+        F.count(F.when(F.col("is_tx"), F.col("id"))).alias("total_transactions"),
+        round_half_up(F.sum("_rev")).alias("gross_revenue_clean"),
+        round_half_up(ratio(F.sum("_rev"), F.sum("_n_rev"))).alias("avg_order_value"),
+        F.count(F.when(~F.col("is_tx"), F.col("id"))).alias("unique_customers"))
 
 
 @entry("B14", "exposure_effect")
@@ -247,9 +280,9 @@ def exposure_effect(t: Tables) -> DataFrame:
 
 # ---- 4. products ----------------------------------------------------------
 
-def _product_rollup(t: Tables, tx: DataFrame, dims: list[str]) -> DataFrame:
+def _product_rollup(t: Tables, dims: list[str], sales_only: bool = False) -> DataFrame:
     """Fact pre-aggregated per product, joined to the product dimension."""
-    return per_product(tx).join(t.pr.select("product_id", *dims), "product_id")
+    return per_product(t, sales_only).join(t.pr.select("product_id", *dims), "product_id")
 
 
 def _product_measures():
@@ -264,7 +297,7 @@ def _product_measures():
 @entry("B15", "category_performance")
 def category_performance(t: Tables) -> DataFrame:
     """All transactions by category; AOV counts refunds as 0."""
-    rolled = _product_rollup(t, t.tx, ["category"])
+    rolled = _product_rollup(t, ["category"])
     return rolled.groupBy("category").agg(
         F.sum("n_tx").alias("total_transactions"),
         *_product_measures()[1:],
@@ -274,7 +307,7 @@ def category_performance(t: Tables) -> DataFrame:
 @entry("B16", "top_products")
 def top_products(t: Tables) -> DataFrame:
     """Top 10 products by sales revenue (ties by product_id)."""
-    per = per_product(t.sales).select(
+    per = per_product(t, sales_only=True).select(
         "product_id",
         F.col("n_tx").alias("total_transactions"),
         round_half_up("sum_sale0").alias("net_revenue"),
@@ -290,7 +323,7 @@ def top_products(t: Tables) -> DataFrame:
 @entry("B17", "premium_performance")
 def premium_performance(t: Tables) -> DataFrame:
     """All transactions by premium flag; AOV counts refunds as 0."""
-    rolled = _product_rollup(t, t.tx, ["is_premium"])
+    rolled = _product_rollup(t, ["is_premium"])
     return rolled.groupBy("is_premium").agg(
         *_product_measures(),
         pct(F.sum("n_refund"), F.sum("n_rows")).alias("refund_rate_pct"),
@@ -300,7 +333,7 @@ def premium_performance(t: Tables) -> DataFrame:
 
 @entry("B18", "category_by_premium")
 def category_by_premium(t: Tables) -> DataFrame:
-    rolled = _product_rollup(t, t.sales, ["category", "is_premium"])
+    rolled = _product_rollup(t, ["category", "is_premium"], sales_only=True)
     return rolled.groupBy("category", "is_premium").agg(*_product_measures()).select(
         "category", product_type("is_premium").alias("product_type"), "total_transactions",
         "net_revenue", "avg_order_value")
@@ -308,30 +341,37 @@ def category_by_premium(t: Tables) -> DataFrame:
 
 # ---- 5. segmentation ----------------------------------------------------------
 
+def _by_segment(scored: DataFrame) -> DataFrame:
+    """A row for each RFM segment that has customers, with its sums, and the
+    sum over all (``_total``): the labels are known, so one global aggregate
+    does, and its one row is unpivoted."""
+    sums = {"_n": "count(1)", "_rev": "sum(monetary)", "_n_rev": "count(monetary)", "_days": "sum(recency_days)",
+            "_n_days": "count(recency_days)", "_purchases": "sum(frequency)"}
+    segments = [", ".join([f"'rfm_segment', '{label}'", *(f"'{k}', {x} FILTER (WHERE rfm_segment = '{label}')" for k, x in sums.items())])
+                for label, _ in L.RFM_SEGMENTS]
+    one = scored.agg(F.expr("array(" + ", ".join(f"named_struct({s})" for s in segments) + ")").alias("_segments"),
+                     F.sum("monetary").alias("_total"))
+    return one.select("_total", F.inline("_segments")).where("_n > 0")
+
+
 @entry("B19", "rfm_summary")
 def rfm_summary(t: Tables) -> DataFrame:
-    seg = rfm_scores(t, invert=False).groupBy("rfm_segment").agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.sum("monetary").alias("_rev"),
-        round_half_up(mean("monetary")).alias("avg_revenue_per_customer"),
-        round_half_up(mean("recency_days"), 0).alias("avg_recency_days"),
-        round_half_up(mean("frequency")).alias("avg_frequency"))
-    return share_of_total(seg, "_rev", "pct_of_revenue").select(
-        "rfm_segment", "total_customers", round_half_up("_rev").alias("total_revenue"),
-        "avg_revenue_per_customer", "avg_recency_days", "avg_frequency", "pct_of_revenue")
+    return _by_segment(rfm_scores(t, invert=False)).select(
+        "rfm_segment", F.col("_n").alias("total_customers"), round_half_up("_rev").alias("total_revenue"),
+        round_half_up(ratio("_rev", "_n_rev")).alias("avg_revenue_per_customer"),
+        round_half_up(ratio("_days", "_n_days"), 0).alias("avg_recency_days"),
+        round_half_up(ratio("_purchases", "_n")).alias("avg_frequency"),
+        pct("_rev", "_total").alias("pct_of_revenue"))
 
 
 @entry("B20", "rfm_summary_inverted")
 def rfm_summary_inverted(t: Tables) -> DataFrame:
     """Same scoring with every tile order reversed (best customers score 1)
     while the labels stay: kept as specified, B19 is the meaningful one."""
-    seg = rfm_scores(t, invert=True).groupBy("rfm_segment").agg(
-        F.count(F.lit(1)).alias("total_customers"),
-        F.sum("monetary").alias("_rev"),
-        round_half_up(mean("monetary")).alias("avg_revenue_per_customer"))
-    return share_of_total(seg, "_rev", "pct_of_revenue").select(
-        "rfm_segment", "total_customers", round_half_up("_rev").alias("total_revenue"),
-        "avg_revenue_per_customer", "pct_of_revenue")
+    return _by_segment(rfm_scores(t, invert=True)).select(
+        "rfm_segment", F.col("_n").alias("total_customers"), round_half_up("_rev").alias("total_revenue"),
+        round_half_up(ratio("_rev", "_n_rev")).alias("avg_revenue_per_customer"),
+        pct("_rev", "_total").alias("pct_of_revenue"))
 
 
 @entry("B21", "top_customers")

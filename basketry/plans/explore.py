@@ -9,14 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.functions import labels as L
 from basketry.functions.scalar import (age_group, as_double, mean, month_key, pct,
                                        product_type, purchase_band, ratio, round_half_up,
                                        weekday_name, weekday_number)
 from basketry.operators.ranking import percentiles
 from basketry.operators.shares import share_of_total
 from basketry.plans.catalog import entry
+from basketry.plans.lattice import distinct_of_sales, measures
 from basketry.plans.tables import Tables
-from basketry.session import ensure_checkpoint_dir
 
 REV = "gross_revenue_clean"
 
@@ -68,42 +69,37 @@ def sales_per_customer(t: Tables) -> DataFrame:
         F.max("timestamp").alias("last_ts"))
 
 
-def per_product(tx: DataFrame) -> DataFrame:
+def per_product(t: Tables, sales_only: bool = False) -> DataFrame:
     """One row per product_id: the sums every product-level query needs,
     so the product join sees one row per product instead of the fact."""
-    is_sale = F.col("refund_flag") == 0
-    sale_or_zero = F.when(is_sale, F.col(REV)).otherwise(F.lit(0))
-    return tx.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.count("transaction_id").alias("n_tx"),
-        F.sum(F.col("refund_flag").cast("int")).alias("n_refund"),
-        F.sum(REV).alias("sum_rev"),
-        F.count(REV).alias("n_rev"),
-        F.sum(sale_or_zero).alias("sum_sale0"),
-        F.count(sale_or_zero).alias("n_sale0"))
+    facts = measures(t, ["product_id", "refund_flag"])
+    if sales_only:
+        facts = facts.where(F.col("refund_flag") == L.SALE)
+    is_sale = F.col("refund_flag") == L.SALE
+    return facts.groupBy("product_id").agg(
+        F.sum("n_rows").alias("n_rows"),
+        F.sum("n_tx").alias("n_tx"),
+        F.sum(F.col("refund_flag") * F.col("n_rows")).alias("n_refund"),
+        F.sum("sum_rev").alias("sum_rev"),
+        F.sum("n_rev").alias("n_rev"),
+        F.sum(F.when(is_sale, F.col("sum_rev")).otherwise(F.lit(0))).alias("sum_sale0"),
+        F.sum(F.when(is_sale, F.col("n_rev")).otherwise(F.col("n_rows"))).alias("n_sale0"))
 
 
 # ---- 1. distributions -------------------------------------------------------
 
 @entry("E01", "revenue_distribution")
 def revenue_distribution(t: Tables) -> DataFrame:
-    """Count, min, max, mean, sample stddev (one aggregate) and exact
-    p25/p50/p75/p95 of sales revenue (``percentiles``: only the buckets
-    holding the needed ranks are sorted). The narrow sales are stored once;
-    the aggregate and the percentile passes read that copy."""
-    ensure_checkpoint_dir(t.sales.sparkSession)
-    sales = t.sales.select("transaction_id", REV).checkpoint(eager=True)
-    ps = percentiles(sales, REV, {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95}, "transaction_id")
-    one = sales.agg(F.count(F.lit(1)).alias("total_transactions"),
-                    F.min(REV).alias("_min"), F.max(REV).alias("_max"),
-                    mean(REV).alias("_avg"), F.stddev_samp(REV).alias("_sd"))
-    return one.select(
-        "total_transactions",
-        round_half_up("_min").alias("min_revenue"),
-        round_half_up("_max").alias("max_revenue"),
-        round_half_up("_avg").alias("avg_revenue"),
-        round_half_up("_sd").alias("stddev_revenue"),
-        *[round_half_up(F.lit(x).cast("double")).alias(name) for name, x in ps.items()])
+    """Count, min, max, mean, sample stddev and exact p25/p50/p75/p95 of sales
+    revenue in one lazy plan: the first pass takes the statistics along with
+    the sketch that brackets the percentiles, the last one gathers the rows
+    inside the brackets (``percentiles``)."""
+    found = percentiles(t.sales.select("transaction_id", REV), REV, {"p25": 0.25, "p50_median": 0.50, "p75": 0.75, "p95": 0.95},
+                        "transaction_id", extra=[
+                            F.count(F.lit(1)).alias("total_transactions"), F.min(REV).alias("min_revenue"),
+                            F.max(REV).alias("max_revenue"), mean(REV).alias("avg_revenue"), F.stddev_samp(REV).alias("stddev_revenue")])
+    return found.select("total_transactions", *[round_half_up(c).alias(c) for c in (
+        "min_revenue", "max_revenue", "avg_revenue", "stddev_revenue", "p25", "p50_median", "p75", "p95")])
 
 
 @entry("E02", "quantity_distribution")
@@ -126,6 +122,16 @@ def price_by_category(t: Tables) -> DataFrame:
 
 @entry("E04", "monthly_revenue")
 def monthly_revenue(t: Tables) -> DataFrame:
+    if "lattice" in t.shared:
+        sales = F.col("refund_flag") == L.SALE
+        sums = measures(t, ["month", "refund_flag"]).where(sales).groupBy("month").agg(
+            F.sum("n_rows").alias("total_transactions"), round_half_up(F.sum("sum_rev")).alias("total_revenue"),
+            round_half_up(ratio(F.sum("sum_rev"), F.sum("n_rev"))).alias("avg_order_value"))
+        customers = distinct_of_sales(t, "month_customers", ["month"], "unique_customers", sales).withColumnRenamed("month", "_month")
+        # a row for each month on both sides
+        return (sums.join(customers, F.col("month").eqNullSafe(F.col("_month")), "left")
+                .select("month", "total_transactions", F.coalesce("unique_customers", F.lit(0)).cast("long").alias("unique_customers"),
+                        "total_revenue", "avg_order_value"))
     return t.sales.groupBy(month_key("timestamp").alias("month")).agg(
         F.count(F.lit(1)).alias("total_transactions"),
         F.countDistinct("customer_id").alias("unique_customers"),
@@ -245,7 +251,7 @@ def age_group_revenue(t: Tables) -> DataFrame:
 @entry("E15", "premium_refund_profile")
 def premium_refund_profile(t: Tables) -> DataFrame:
     """All transactions (refunds included) by premium flag."""
-    joined = per_product(t.tx).join(t.pr.select("product_id", "is_premium"), "product_id")
+    joined = per_product(t).join(t.pr.select("product_id", "is_premium"), "product_id")
     return joined.groupBy("is_premium").agg(
         F.sum("n_rows").alias("total_transactions"),
         F.sum("n_refund").cast("bigint").alias("total_refunds"),

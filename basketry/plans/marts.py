@@ -43,9 +43,10 @@ def rfm_scores(t: Tables, invert: bool = False) -> DataFrame:
     Every tile order ends with customer_id ascending so ties are
     deterministic. ``invert=True`` reverses all three orders (best
     customers score 1) but keeps the labels. The at most three cut points
-    (value, customer_id) of each score are looked up exactly
-    (``ntile_labels``); customers are then labelled in place, so none is
-    shuffled or sorted for the ranking.
+    (value, customer_id) of each score are exact scalar subqueries
+    (``ntile_labels``) that read the same exchange of per-customer sums;
+    customers are labelled in place, so none is shuffled or sorted for the
+    ranking.
     """
     scored = ntile_labels(rfm_base(t), L.RFM_TILES,
                           {"r_score": ("recency_days", not invert), "f_score": ("frequency", invert),
@@ -82,6 +83,8 @@ FUNNEL_FLAGS = {"reached_view": L.EVENT_VIEW, "reached_click": L.EVENT_CLICK,
 
 
 def funnel_flags(t: Tables) -> DataFrame:
+    if "customer_flags" in t.shared:
+        return t.shared["customer_flags"]
     return stage_flags(t.ev, ["customer_id"], FUNNEL_FLAGS)
 
 
@@ -111,14 +114,17 @@ def customer_summary(t: Tables) -> DataFrame:
 
 @entry("V05", "days_to_second_purchase")
 def days_to_second_purchase(t: Tables) -> DataFrame:
-    gaps = nth_event_gap(t.sales, "customer_id", "timestamp", 1, 2, "days_to_second_purchase")
+    gaps = t.shared.get("customer_gaps")
+    if gaps is None:
+        gaps = nth_event_gap(t.sales, "customer_id", "timestamp", 1, 2, "days_to_second_purchase")
     return gaps.groupBy("days_to_second_purchase").agg(F.count(F.lit(1)).alias("total_customers"))
 
 
 def mart_views(t: Tables) -> dict[str, DataFrame]:
     """The five cleaned frames and the five marts by view name, for
-    ``register_views``. RFM cut points are computed when this is called."""
-    return t.views() | build_marts(t)
+    ``register_views``. All lazy: nothing runs here, and a query of a view
+    computes it from the tables as they are then."""
+    return t.views() | build_marts(t, share=False)
 
 
 MARTS = ["rfm_segments", "cohort_analysis", "funnel_customers", "customer_summary",

@@ -10,6 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry.schemas import RAW_SCHEMAS
+from basketry.sources.published import publication, publish, read_published
+
+
+def csv_header(spark: SparkSession, name: str, path: str) -> list[str]:
+    """Column names in the header of a raw table's CSV file; raises if one of
+    the table's columns is missing."""
+    header = spark.read.option("header", True).csv(path).columns
+    if missing := [f.name for f in RAW_SCHEMAS[name].fields if f.name not in header]:
+        raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+    return header
 
 
 def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet") -> DataFrame:
@@ -25,9 +35,7 @@ def read_table(spark: SparkSession, name: str, path: str, fmt: str = "parquet")
     """
     schema = RAW_SCHEMAS[name]
     if fmt == "csv":
-        header = spark.read.option("header", True).csv(path).columns
-        if missing := [f.name for f in schema.fields if f.name not in header]:
-            raise ValueError(f"{path}: no column {', '.join(missing)} in the header")
+        header = csv_header(spark, name, path)
         in_file = StructType([schema[c] if c in schema.names else StructField(c, StringType()) for c in header])
         return (spark.read.schema(in_file)
                 .option("header", True)
@@ -58,20 +66,19 @@ def register_views(frames: Mapping[str, DataFrame]) -> list[str]:
     return sorted(frames)
 
 
-def write_marts(marts: Mapping[str, DataFrame], path: str, mode: str = "overwrite",
+def write_marts(marts: Mapping[str, DataFrame], path: str,
                 partition_by: Mapping[str, list[str]] | None = None) -> list[str]:
-    """Write mart frames as Parquet tables under ``path/<name>`` for BI tools.
+    """Publish mart frames as Parquet tables for BI tools, all at once
+    (``published``): until the last of them is written, and if one fails,
+    ``read_mart`` gives the marts that were there before. Returns the tables'
+    folders. Every task writes its own files; nothing passes through the
+    driver."""
+    spark = next(iter(marts.values())).sparkSession
+    version = publish(spark, marts, path, partition_by=partition_by)
+    tables = publication(spark, path, version)["tables"]
+    return [tables[name] for name in marts]
 
-    The write is distributed: every task writes its own files; nothing
-    passes through the driver.
-    """
-    written = []
-    for name, df in marts.items():
-        writer = df.write.mode(mode)
-        cols = (partition_by or {}).get(name)
-        if cols:
-            writer = writer.partitionBy(*cols)
-        target = f"{path.rstrip('/')}/{name}"
-        writer.parquet(target)
-        written.append(target)
-    return written
+
+def read_mart(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """A mart of the latest publication at ``path``, or of ``version``."""
+    return read_published(spark, path, name, version)

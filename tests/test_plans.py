@@ -40,12 +40,40 @@ def test_no_single_partition_over_raw_rows(spark, name):
 
 @pytest.mark.parametrize("name", ["revenue_concentration", "rfm_segments", "revenue_distribution"])
 def test_ranking_labels_rows_in_place(spark, name):
-    """The stored frame is labelled by comparison with cut points: no range
-    exchange, window or join of its rows."""
+    """One lazy plan: rows are compared with cut points from scalar
+    subqueries; no range exchange, window or join of them."""
     plan = plan_of(spark, name)
-    assert "Scan ExistingRDD" in plan
-    for step in ("rangepartitioning", "ntile", "Window", "Join", "percentile"):
-        assert step not in plan or name == "revenue_concentration" and step == "rangepartitioning" or step == "Window" and name != "rfm_segments", step
+    assert "Subquery" in plan and "Scan ExistingRDD" not in plan
+    for step in ("rangepartitioning", "ntile", "Window", "percentile"):
+        assert step not in plan or name == "revenue_concentration" and step in ("rangepartitioning", "Window"), step
+
+
+@pytest.mark.parametrize("name", ["revenue_concentration", "rfm_summary", "rfm_summary_inverted", "rfm_segments", "revenue_distribution"])
+def test_ranking_runs_few_jobs(spark, plain, name):
+    """None when the frame is built, under ten in all."""
+    from basketry.plans.registry import run_entry
+    sc, group = spark.sparkContext, f"jobs-{name}"
+    run_entry(name, plain)             # opens the files
+    sc.setJobGroup(group, "")
+    try:
+        df = run_entry(name, plain)
+        assert not sc.statusTracker().getJobIdsForGroup(group)
+        df.write.format("noop").mode("overwrite").save()
+        assert 0 < len(sc.statusTracker().getJobIdsForGroup(group)) < 10
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_the_passes_read_one_exchange(spark, plain):
+    """The per-customer sums are shuffled once for all passes."""
+    from basketry.plans.registry import run_entry
+    df = run_entry("rfm_summary", plain)
+    df.collect()
+    done = df._jdf.queryExecution().executedPlan()
+    df2 = df._jdf.queryExecution()
+    df2.toRdd().count()
+    final = df2.executedPlan().toString()
+    assert done is not None and "ReusedExchange" in final
 
 
 @pytest.mark.parametrize("name", ["funnel", "device_conversion", "traffic_conversion",
@@ -83,24 +111,54 @@ def plain(spark, tmp_path_factory):
     return Tables.read(spark, paths, as_of=FIXTURE_AS_OF)
 
 
-@pytest.mark.parametrize("name", ["channel_performance", "objective_performance", "session_identity_check"])
-def test_no_expand_and_no_raw_fact_hashed_on_campaign(spark, plain, name):
+@pytest.mark.parametrize("name", ["channel_performance", "objective_performance"])
+def test_one_scan_and_one_exchange_of_campaign_facts(spark, plain, name):
+    """Facts meet the campaigns where they are read, and are exchanged once,
+    by (label, id), after partial sums."""
     from basketry.plans.registry import run_entry
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = run_entry(name, plain)._jdf.queryExecution().executedPlan().toString()
+    lines = plan.splitlines()
+    exchanges = [i for i, line in enumerate(lines) if "Exchange hashpartitioning" in line]
+    by_id = [i for i in exchanges if re.search(r"hashpartitioning\((channel|objective)#\d+, (is_tx#\d+, id|transaction_id)#", lines[i])]
+    assert "Expand" not in plan and plan.count("Scan parquet") == 2 and len(by_id) == 1
+    assert "partial_" in lines[by_id[0] + 1]
+    # the other exchange has a row a label
+    assert len(exchanges) == 2 and "partial_" in lines[exchanges[0] + 1]
+
+
+def test_session_identity_has_no_expand(spark, plain):
+    from basketry.plans.registry import run_entry
+    assert "Expand" not in run_entry("session_identity_check", plain)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mart_views_are_live(spark, plain, tmp_path):
+    """Registering runs nothing, and new rows of a table are seen."""
+    import uuid
+
+    from basketry.plans.marts import mart_views
+    from basketry.plans.tables import Tables
+    from basketry.sources import register_views
+    name = f"tx_{uuid.uuid4().hex[:8]}"
+    plain.transactions.write.option("path", str(tmp_path / "tx")).saveAsTable(name)
     try:
-        plan = run_entry(name, plain)._jdf.queryExecution().executedPlan().toString()
+        t = Tables(customers=plain.customers, products=plain.products, campaigns=plain.campaigns, events=plain.events,
+                   transactions=spark.table(name), as_of=plain.as_of)
+        sc = spark.sparkContext
+        sc.setJobGroup("live-views", "")
+        register_views(mart_views(t))
+        assert not sc.statusTracker().getJobIdsForGroup("live-views")
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        def totals():
+            return (spark.sql("select sum(frequency) from rfm_segments").first()[0], spark.sql("select sum(total_purchases) from customer_summary").first()[0],
+                    spark.sql("select sum(total_purchases) from cohort_analysis").first()[0])
+        before = totals()
+        one = plain.sales.join(plain.cu, "customer_id", "left_semi").first()
+        new = plain.transactions.where(f"transaction_id = {one.transaction_id}").selectExpr(
+            "transaction_id + 1000000000 as transaction_id", *[c for c in plain.transactions.columns if c != "transaction_id"])
+        new.write.insertInto(name)
+        assert totals() == tuple(x + 1 for x in before)
     finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
-    assert "Expand" not in plan
-    lines = plan.splitlines()
-    for i, line in enumerate(lines):
-        if re.search(r"Exchange hashpartitioning\(campaign_id#\d+L?, \d+\)", line):
-            below = re.sub(r"^[\s:+\-*()0-9]*", "", lines[i + 1])
-            assert below.startswith(("HashAggregate", "Project", "Filter")), below
-            # facts arrive grouped by (campaign, id); the campaign table itself may be hashed
-            facts = "gross_revenue" in "".join(lines[i:i + 4]) or "_rev" in "".join(lines[i:i + 3])
-            assert not facts or "HashAggregate" in "".join(lines[i + 1:i + 3])
+        spark.sql(f"drop table {name}")
 
 
 def test_every_entry_over_plain_tables_equals_the_oracle(spark, plain):
