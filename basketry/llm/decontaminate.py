@@ -1,23 +1,34 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-Words are runs of letters, digits and non-ASCII bytes, A-Z lower-cased, so
-punctuation and markup do not hide a passage. A document is contaminated by a
-benchmark item if some ``WINDOW`` consecutive words of it equal the same
-number of the item's words in all but at most ``SUBSTITUTIONS`` places.
+Words are runs of letters and digits of any script, A-Z lower-cased, so
+punctuation (of any script) and markup do not hide a passage; each character of
+a script that is written without spaces (``UNSPACED``) is a word of its own. A
+document is contaminated by a benchmark item if some ``WINDOW`` consecutive
+words of it equal the same number of the item's words in all but at most
+``SUBSTITUTIONS`` places.
 
 Each mask hashes the words at its 1 positions and ignores the others. The two
 masks are lossless for the rule: wherever two words of a window differ, one
 mask has a placement inside it that avoids both (a test tries all pairs). The
 hashes of documents and items are joined, and around each hit the aligned
-words are compared, over all windows that contain the hit. Items of 5 to 12
-words are looked for as a whole, without substitutions; shorter ones and null
-texts are never matched.
+words are compared, over all windows that contain the hit.
+
+Shorter items: 8 to 12 words are looked for as a whole with at most one
+substitution (one half is then intact: a mask of half the words is lossless),
+5 to 7 words as a whole without; of an item of 1 to 4 words, which common prose
+may hold, only a document with these words and no others is a copy. Items
+without words and null texts are never matched.
 
 The items' words are broadcast while there are at most ``MAX_BROADCAST_WORDS``
 of them (a few ten MB); then hits are verified where the documents are read
 and nothing is shuffled but the findings. Larger benchmark tables go through a
 shuffled join of the hashes, which carry the words around them; the findings
 are the same.
+
+Rows that share a doc_id are taken together, rows without one too; repeated
+items and items that share an id count once. Empty tables give no rows. Columns
+other than the ids and texts are not read (``drop_contaminated`` keeps them,
+whatever their names). A text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -35,12 +46,53 @@ from basketry.llm.workdir import fresh
 WINDOW = 13
 SUBSTITUTIONS = 2
 MASKS = ("11101011", "110100111")
-MIN_ITEM_WORDS = 5
+MIN_ITEM_WORDS = 5           # shorter items: as whole documents only
+ONE_SUBSTITUTION = 8         # from so many words on
 MAX_BROADCAST_WORDS = 1_000_000
 _FOUND = "doc_id long, text_hash long, item_id long, first_word long, windows long, matching_words int"
 
 # every ASCII character that is no letter or digit parts words
 _WORD_BYTES = np.array([LOWER[c] if c >= 128 or chr(c).isalnum() else 32 for c in range(256)], np.uint8)
+# first and last code points of scripts without spaces (Thai and Lao, Myanmar,
+# Khmer, kana and CJK, Yi), and of punctuation and symbols beyond ASCII
+UNSPACED = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3040, 0x31FF), (0x3400, 0x4DBF),
+            (0x4E00, 0x9FFF), (0xA000, 0xA4CF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF)]
+PARTING = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0xD7, 0xD7), (0xF7, 0xF7), (0x1680, 0x1680), (0x2000, 0x206F), (0x20A0, 0x20CF),
+           (0x2190, 0x2BFF), (0x3000, 0x3004), (0x3008, 0x303F), (0xFE30, 0xFE4F), (0xFEFF, 0xFEFF), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20),
+           (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def _kind_table() -> np.ndarray:
+    out = np.zeros(0x110000, np.uint8)
+    for kind, ranges in ((1, UNSPACED), (2, PARTING)):
+        for a, b in ranges:
+            out[a:b + 1] = kind
+    return out
+
+
+_KIND = _kind_table()
+
+
+def word_bytes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, offsets) of the texts with what parts words as spaces, and
+    spaces around each character of a script without them."""
+    data, offsets = _WORD_BYTES[raw[offsets[0]:offsets[-1]]], offsets - offsets[0]
+    lead = np.flatnonzero(data >= 0xC2)
+    if not len(lead):
+        return data, offsets
+    size = 2 + (data[lead] >= 0xE0) + (data[lead] >= 0xF0)
+    wide = np.append(data, np.zeros(3, np.uint8)).astype(np.int64) & 63
+    point = np.select([size == 2, size == 3], [(data[lead] & 31).astype(np.int64) << 6 | wide[lead + 1],
+                                               (data[lead] & 15).astype(np.int64) << 12 | wide[lead + 1] << 6 | wide[lead + 2]],
+                      (data[lead] & 7).astype(np.int64) << 18 | wide[lead + 1] << 12 | wide[lead + 2] << 6 | wide[lead + 3])
+    kind = _KIND[point]
+    for k in range(4):
+        data[lead[(kind == 2) & (size > k)] + k] = 32
+    alone = np.flatnonzero(kind == 1)
+    if not len(alone):
+        return data, offsets
+    at = np.sort(np.concatenate((lead[alone], lead[alone] + size[alone])))
+    return np.insert(data, at, 32), offsets + np.searchsorted(at, offsets)
 
 
 @dataclass(frozen=True)
@@ -66,14 +118,25 @@ LONG = tuple(Probe(tuple(i for i, c in enumerate(m) if c == "1"), WINDOW, SUBSTI
 
 
 def whole(words: int) -> Probe:
-    return Probe(tuple(range(words)), words, 0)
+    """For items of ``words`` words, under WINDOW."""
+    if words < ONE_SUBSTITUTION:
+        return Probe(tuple(range(words)), words, 0)
+    return Probe(tuple(range(words // 2)), words, 1)
+
+
+def _fits(probe: Probe, hashed: Hashed, at: np.ndarray, item: bool) -> np.ndarray:
+    """Whether a text of these words may be looked for with the probe, or in."""
+    size = hashed.counts[hashed.doc[at]]
+    if item:
+        return size >= WINDOW if probe in LONG else size == probe.window
+    return size >= probe.window if probe.window >= MIN_ITEM_WORDS else size == probe.window
 
 
 class Hashed:
     """Word hashes of a block of texts, with each word's document bounds."""
 
     def __init__(self, raw: np.ndarray, offsets: np.ndarray):
-        w = Words(_WORD_BYTES[raw[offsets[0]:offsets[-1]]], offsets - offsets[0])
+        w = Words(*word_bytes(raw, offsets))
         self.words, self.doc, self.counts = w.hashes(), w.doc(), w.counts
         self.first = np.repeat(w.first[:-1], w.counts)
         self.last = np.repeat(w.first[1:], w.counts)
@@ -104,12 +167,11 @@ class Benchmark:
 
     def __init__(self, item_ids: np.ndarray, hashed: Hashed):
         self.item_ids, self.hashed = item_ids, hashed
-        long_item = hashed.counts[hashed.doc] >= WINDOW
         self.probes: list[tuple[Probe, np.ndarray, np.ndarray, np.ndarray]] = []
-        short = [whole(int(n)) for n in np.unique(hashed.counts) if MIN_ITEM_WORDS <= n < WINDOW]
+        short = [whole(int(n)) for n in np.unique(hashed.counts) if 0 < n < WINDOW]
         for probe in (*LONG, *short):
             at, seeds = hashed.seeds(probe)
-            ok = long_item[at] if probe in LONG else hashed.counts[hashed.doc[at]] == probe.window
+            ok = _fits(probe, hashed, at, True)
             at, seeds = at[ok], seeds[ok]
             order = np.argsort(seeds, kind="stable")
             # one bit a hash prefix: most positions of a document end here
@@ -123,7 +185,7 @@ class Benchmark:
         out = []
         for probe, seeds, places, sieve in self.probes:
             at, hashes = h.seeds(probe)
-            near = np.flatnonzero(sieve[(hashes >> np.uint64(42)).astype(np.int64)])
+            near = np.flatnonzero(sieve[(hashes >> np.uint64(42)).astype(np.int64)] & _fits(probe, h, at, False))
             at, hashes = at[near], hashes[near]
             lo, hi = np.searchsorted(seeds, hashes, "left"), np.searchsorted(seeds, hashes, "right")
             n = hi - lo
@@ -185,10 +247,8 @@ def _seed_rows(texts: DataFrame, probes: tuple[Probe, ...], item: bool) -> DataF
                 begin = np.concatenate(([0], np.cumsum(h.counts)))
                 for k, probe in enumerate(probes):
                     at, seeds = h.seeds(probe)
-                    if item:
-                        size = h.counts[h.doc[at]]
-                        ok = size >= WINDOW if probe in LONG else size == probe.window
-                        at, seeds = at[ok], seeds[ok]
+                    ok = _fits(probe, h, at, item)
+                    at, seeds = at[ok], seeds[ok]
                     step = at[:, None] + np.arange(-probe.reach, probe.window)
                     inside = (step >= h.first[at][:, None]) & (step < h.last[at][:, None])
                     # a word's hash, or 0 outside of the text (words never hash to 0 here)
@@ -204,7 +264,7 @@ def _seed_rows(texts: DataFrame, probes: tuple[Probe, ...], item: bool) -> DataF
 
 
 def _with_join(texts: DataFrame, items: DataFrame) -> DataFrame:
-    probes = (*LONG, *(whole(n) for n in range(MIN_ITEM_WORDS, WINDOW)))
+    probes = (*LONG, *(whole(n) for n in range(1, WINDOW)))
     left = _seed_rows(texts, probes, False)
     right = _seed_rows(items, probes, True).select(
         "probe", "seed", F.col("id").alias("item_id"), F.col("around").alias("expected"))

@@ -21,6 +21,7 @@ doc_id is smaller than any other. An empty table gives no rows.
 from __future__ import annotations
 
 import hashlib
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,15 +52,27 @@ class CountingQuotientFilter:
 
     @classmethod
     def merged(cls, filters: list[CountingQuotientFilter]) -> CountingQuotientFilter:
-        """Union of all runs in sorted order, counters added."""
-        values = np.concatenate([f.fingerprints for f in filters])
-        counts = np.concatenate([f.counts for f in filters])
-        order = np.argsort(values, kind="stable")
-        values, counts = values[order], counts[order]
-        if not len(values):
-            return cls(values, counts)
-        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
-        return cls(values[first], np.add.reduceat(counts, first))
+        """Union of all runs, counters added: two filters at a time, the
+        smallest ones first, each a linear merge of sorted remainders in
+        quotient order."""
+        heap = [(len(f.fingerprints), k, f) for k, f in enumerate(filters)]
+        heapq.heapify(heap)
+        if not heap:
+            return cls(np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+        while len(heap) > 1:
+            (_, k, small), (_, _, large) = heapq.heappop(heap), heapq.heappop(heap)
+            both = large._with(small)
+            heapq.heappush(heap, (len(both.fingerprints), k, both))
+        return heap[0][2]
+
+    def _with(self, other: CountingQuotientFilter) -> CountingQuotientFilter:
+        at = np.searchsorted(self.fingerprints, other.fingerprints)
+        known = at < len(self.fingerprints)
+        known[known] = self.fingerprints[at[known]] == other.fingerprints[known]
+        counts = self.counts.copy()
+        counts[at[known]] += other.counts[known]
+        return CountingQuotientFilter(np.insert(self.fingerprints, at[~known], other.fingerprints[~known]),
+                                      np.insert(counts, at[~known], other.counts[~known]))
 
     def blocks(self, block_bits: int, bits: int) -> Iterator[tuple[int, CountingQuotientFilter]]:
         number = (self.fingerprints >> np.uint64(bits - block_bits)
@@ -210,8 +223,10 @@ def drop_exact_copies(docs: DataFrame, bits: int = FINGERPRINT_BITS) -> DataFram
     prints, groups = exact_groups(docs, bits)
     key, raw = fresh(docs, "_key", "_raw")
     some = F.lit(-(1 << 63))
-    kept = (_decided(prints, groups).where("kept")
-            .groupBy("doc_id", "text_sha256").agg(F.max("raw_hash").alias(raw))
+    # both sides of the join on texts are plain scans and its result is
+    # written, so that Spark can split the rows of a hot text
+    decided = saved(_decided(prints, saved(groups, "exact-groups")).where("kept").select("doc_id", "text_sha256", "raw_hash"), "exact-kept")
+    kept = (decided.groupBy("doc_id", "text_sha256").agg(F.max("raw_hash").alias(raw))
             .select(F.coalesce("doc_id", some).alias(key), raw))
     # the second step keeps one of the rows that repeat a kept document
     # entirely; it uses the join's partitioning and order

@@ -103,15 +103,14 @@ def posting_lists(labelled: DataFrame, range_rows: int = RANGE_ROWS) -> DataFram
             cuts = np.flatnonzero(parts[1:] != parts[:-1]) + 1 if len(parts) else np.zeros(0, int)
             marks = np.column_stack([b.column(k).to_numpy(zero_copy_only=False).astype(bool) for k in range(2, 9)])
             for lo, hi in zip(np.append(0, cuts), np.append(cuts, len(parts)), strict=True):
-                if hi == lo:
-                    continue
-                if size and (parts[lo] != part or size >= range_rows):
-                    yield lists(part, ids, np.concatenate(flags))
-                    ids, flags, size = [], [], 0
-                part = parts[lo]
-                ids.append(b.column(0).slice(lo, hi - lo))
-                flags.append(marks[lo:hi])
-                size += hi - lo
+                while lo < hi:
+                    if size and (parts[lo] != part or size >= range_rows):
+                        yield lists(part, ids, np.concatenate(flags))
+                        ids, flags, size = [], [], 0
+                    part, n = parts[lo], min(hi - lo, range_rows - size)
+                    ids.append(b.column(0).slice(lo, n))
+                    flags.append(marks[lo:lo + n])
+                    lo, size = lo + n, size + n
         if size:
             yield lists(part, ids, np.concatenate(flags))
 

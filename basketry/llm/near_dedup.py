@@ -18,9 +18,12 @@
    changes of their own drop out). A large group of copies so costs about one
    comparison for each member and bucket.
 5. The estimate counts agreeing registers and corrects for accidental
-   agreement; pairs far below the threshold (over 4 standard errors at any
-   size) are not verified. A cheaper form of it, on one bit of each register,
-   already filters the bucket join. Every link is confirmed on the full sets.
+   agreement. Pairs of larger sets whose estimate is more than 5 standard
+   errors below the threshold are not counted; where borrowed registers make
+   the error larger (sets under ``EXACT_BELOW``), every pair is. A cheaper form
+   of it, on one bit of each register, already filters the bucket join, with a
+   margin that grows as sets get smaller. Every link is confirmed on the full
+   sets.
 
 Words are runs without ASCII white space, A-Z lower-cased; a text of fewer
 words than a shingle is one shingle; texts without words are linked with
@@ -45,10 +48,12 @@ BAND = 5
 BANDS = 40
 REGISTERS = BAND * BANDS
 MANTISSA_BITS = 10
-# a pair this far below the threshold is not verified: over four standard
-# errors of the estimate from whole registers (0.03 to 0.04), and of the one
-# from a bit each (BIT_MARGIN + BIT_SMALL / sqrt(n), n: the smaller set's size)
+# a pair this far below the threshold is not verified: over five standard
+# errors (0.028 at 0.8) of the estimate from whole registers, which holds from
+# EXACT_BELOW shingles on, and over four of the one from a bit each
+# (BIT_MARGIN + BIT_SMALL / sqrt(n), n: the smaller set's size)
 MARGIN = 0.16
+EXACT_BELOW = 512
 BIT_MARGIN, BIT_SMALL = 0.19, 0.8
 _BIT_WORDS = -(-REGISTERS // 64)
 
@@ -247,7 +252,8 @@ def estimate(x: np.ndarray, y: np.ndarray) -> float:
 
 def _linked(m1: bytes, m2: bytes, s1: bytes, s2: bytes, threshold: int) -> bool:
     x, y = np.frombuffer(m1, np.uint64), np.frombuffer(m2, np.uint64)
-    if estimate(np.frombuffer(s1, np.uint16), np.frombuffer(s2, np.uint16)) < threshold / 100 - MARGIN:
+    if (min(len(x), len(y)) >= EXACT_BELOW
+            and estimate(np.frombuffer(s1, np.uint16), np.frombuffer(s2, np.uint16)) < threshold / 100 - MARGIN):
         return False
     both = np.concatenate((x, y))
     both.sort(kind="mergesort")

@@ -15,8 +15,11 @@
    common length is spread over tasks), and the rank names the sequence and
    the place in it. Offsets are running sums of true lengths in a sequence.
 
-Null text: the end token alone. Repeated rows are packed like any others. An
-empty table gives no rows.
+Null text: the end token alone. Repeated rows and rows with a null doc_id are
+packed like any others; equal lengths are ranked by doc_id, text hash and start,
+and rows that tie there in any order. An empty table gives no rows. Columns
+other than doc_id and text are not read, whatever their names. A text longer
+than a block is a block of its own.
 """
 
 from __future__ import annotations
@@ -127,14 +130,21 @@ def cutting_stock(demand: np.ndarray, gap: float = GAP) -> list[tuple[int, np.nd
         inverse -= np.outer(column, pivot)
         inverse[out] = pivot
         amount = np.maximum(np.einsum("ij,j->i", inverse, want), 0)
-    counts = np.floor(amount + 1e-9).astype(int)
-    plan = [(int(n), p) for n, p in zip(counts, patterns, strict=True) if n]
-    left = demand - sum((n * p for n, p in plan), np.zeros(room, int))
-    for n, p in list(plan):        # floor() of a rounding error may exceed a demand
-        if (left < 0).any():
-            plan.remove((n, p))
-            left = left + n * p
-    return plan + _best_fit(left)
+    return _whole(np.floor(amount + 1e-9).astype(int), patterns, demand)
+
+
+def _whole(counts: np.ndarray, patterns: np.ndarray, demand: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Rounded counts of ``patterns``, and best fit for the rest. Where rounding
+    errors exceed a demand, patterns that hold the class give way one at a
+    time."""
+    counts, patterns = np.array(counts, int), np.asarray(patterns)
+    left = demand - counts @ patterns
+    while (left < 0).any():
+        c = int(np.argmin(left))
+        k = int(np.flatnonzero((counts > 0) & (patterns[:, c] > 0))[0])
+        counts[k] -= 1
+        left = left + patterns[k]
+    return [(int(n), p) for n, p in zip(counts, patterns, strict=True) if n] + _best_fit(left)
 
 
 def _best_fit(left: np.ndarray) -> list[tuple[int, np.ndarray]]:

@@ -106,5 +106,5 @@ def in_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFr
         F.col("shard").alias(shard), F.col("slot").alias(slot))
     places = places.withColumn(nth, F.row_number().over(Window.partitionBy(key, th).orderBy("row_number")))
     rows = docs.withColumns({key: F.coalesce(F.col("doc_id").cast("long"), none), th: crc})
-    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, th).orderBy(F.octet_length("text"), F.xxhash64("text"))))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(key, th).orderBy(F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.xxhash64("text"))))
     return rows.join(places, [key, th, nth]).select(*docs.columns, shard, slot)

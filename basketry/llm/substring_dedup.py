@@ -38,7 +38,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.text import Words, blocks, mix, text_buffer
@@ -48,6 +48,7 @@ WINDOW = 13
 GRAM = 5
 MAX_SHARD = 2000
 MAX_BROADCAST_COPIES = 1_000_000
+MARK_BITS = 1 << 27          # 16 MB
 _NO_ID = (1 << 63) - 1
 _REACH = WINDOW - GRAM
 
@@ -155,8 +156,16 @@ def _summaries(docs: DataFrame) -> DataFrame:
     return _keyed(docs).mapInArrow(run, "doc long, text_hash long, n_words long, words_sha256 string")
 
 
+def _row_key(doc: Column, text_hash: Column) -> Column:
+    """A number for each (doc, text), near the doc_id so that it compresses;
+    rows of one doc_id (or of none) are spread. Rows that share a number only
+    share each other's anchors, which costs work and changes no result."""
+    return F.shiftleft(F.when(doc < _NO_ID, doc).otherwise(F.lit(-1)), 10).bitwiseOR(F.pmod(text_hash, F.lit(1024)))
+
+
 def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """doc, anchor: the distinct anchor hashes of each row of ``texts``."""
+    """doc, anchor: the distinct anchor hashes of each row of ``texts``; doc is
+    the row's ``_row_key``."""
 
     def run(batches):
         for b in batches:
@@ -173,7 +182,24 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(doc[new] + lo)), pa.array(key[new].view(np.int64))],
                                                  ["doc", "anchor"])
 
-    return texts.select("doc", "text").mapInArrow(run, "doc long, anchor long")
+    return texts.select(_row_key(F.col("doc"), F.col("text_hash")), "text").mapInArrow(run, "doc long, anchor long")
+
+
+def _marked(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows of ``texts`` whose (doc, text_hash) may be in ``wanted``, so
+    that the join with it shuffles few others: a bit for each hash, in bitmaps
+    of at most ``MARK_BITS`` bits in all, which is what is broadcast. A fuller
+    bitmap lets more rows pass, none is lost."""
+    bit = F.pmod(F.xxhash64("doc", "text_hash"), F.lit(MARK_BITS))
+    bitmaps = saved(wanted.select((bit + 1).alias("_n"))
+                    .groupBy(F.bitmap_bucket_number("_n").alias("_bucket"))
+                    .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_n")).alias("_bitmap")), "passage-marks")
+    place = bit % F.lit(32768)
+    byte = F.conv(F.hex(F.expr("substring(_bitmap, cast(_place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return (texts.withColumns({"_bucket": F.floor(bit / F.lit(32768)).cast("long") + F.lit(1), "_place": place})
+            .join(F.broadcast(bitmaps), "_bucket")
+            .where(byte.bitwiseAND(F.expr("shiftleft(1, cast(_place % 8 as int))")) != 0)
+            .drop("_bucket", "_place", "_bitmap"))
 
 
 _CONTEXT = "key long, context long, doc long, text_hash long, start int, size int"
@@ -217,7 +243,10 @@ def _contexts(texts: DataFrame) -> DataFrame:
                 order = np.arange(len(flat), dtype=np.uint64) - np.repeat(begin, size).astype(np.uint64)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(flat + order * np.uint64(0x9E3779B97F4A7C15)))))
                 context = mix(total[begin + size] - total[begin] + size.astype(np.uint64))
-                key = np.where(large[head], mix(context + np.uint64(1)), by_word[best[head]])
+                # with its anchor a context is known by 128 bits; a single window by a second hash of its words
+                total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix((flat ^ np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0x165667B19E3779F9)
+                                                                              + order * np.uint64(0xFF51AFD7ED558CCD)))))
+                key = np.where(large[head], mix(total[begin + size] - total[begin]), by_word[best[head]])
                 row = pa.array(doc[head] + lo)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(key.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(row), b.column(1).take(row),
@@ -250,7 +279,7 @@ def _words_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
                 ["key", "context", "owner", "words"])
 
     wanted = open_.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "context", "start", "size")).alias("wanted"))
-    return (texts.select("doc", "text_hash", "text").join(wanted, ["doc", "text_hash"]).select("doc", "text", "wanted")
+    return (_marked(texts.select("doc", "text_hash", "text"), open_).join(wanted, ["doc", "text_hash"]).select("doc", "text", "wanted")
             .mapInArrow(run, "key long, context long, owner long, words binary"))
 
 
@@ -341,13 +370,15 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     copies = saved(rows.where("copy").select("doc", "text_hash").distinct(), "passage-copies")
     # 16 bytes a row; a longer list is joined by a shuffle
     known = F.broadcast(copies) if copies.count() <= MAX_BROADCAST_COPIES else copies
-    dealt = _anchor_rows(_keyed(docs).join(known, ["doc", "text_hash"], "left_anti"))
+    # two passes read the anchors: they are computed once
+    dealt = saved(_anchor_rows(_keyed(docs).join(known, ["doc", "text_hash"], "left_anti")), "passage-dealt")
     shared = saved(dealt.groupBy("anchor").agg(F.min("doc").alias("x"), F.max("doc").alias("y"), F.count(F.lit(1)).alias("n"))
                    .where("x < y").select("anchor", (F.col("n") > MAX_SHARD).alias("many")), "passage-anchors")
-    hits = (dealt.join(shared, "anchor").groupBy("doc")
+    hits = (dealt.join(shared, "anchor").groupBy(F.col("doc").alias("_row"))
             .agg(F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("small"),
                  F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("large")))
-    texts = saved(_keyed(docs).join(hits, "doc").dropDuplicates(["doc", "text_hash"]), "passage-texts")
+    texts = saved(_keyed(docs).withColumn("_row", _row_key(F.col("doc"), F.col("text_hash"))).join(hits, "_row").drop("_row")
+                  .dropDuplicates(["doc", "text_hash"]), "passage-texts")
     contexts = saved(_contexts(texts), "passage-contexts")
     one = ["key", "context"]
     distinct = saved(contexts.groupBy(*one).agg(F.min(F.struct("doc", "text_hash", "start", "size")).alias("at")), "passage-distinct")
@@ -355,7 +386,7 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
                    .select("key", (F.col("n") > MAX_SHARD).alias("many")), "passage-shards")
 
     def words(of: DataFrame) -> DataFrame:
-        return _words_of(texts, distinct.join(of, "key").select(*one, "at.*"))
+        return _words_of(texts, saved(distinct.join(of, "key").select(*one, "at.*"), "passage-open"))
 
     found = _owners(words(shards.where("not many")))
     if not shards.where("many").isEmpty():       # rare: the texts are then read once more
@@ -376,6 +407,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     ranges removed; null: the whole text), kept_text (null if nothing goes or
     all), kept_sha256 of the kept words joined by one space."""
     rows, texts, gone = repeated_windows(docs)
+    gone = saved(gone, "passage-gone")
 
     def cut(batches):
         for b in batches:
@@ -400,7 +432,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
                  pa.array(kept, pa.string()), pa.array(sums, pa.string())],
                 ["doc", "text_hash", "cut_words", "spans", "kept_text", "cut_sha256"])
 
-    cuts = (texts.select("doc", "text_hash", "text").join(gone, ["doc", "text_hash"])
+    cuts = (_marked(texts.select("doc", "text_hash", "text"), gone).join(gone, ["doc", "text_hash"])
             .select("doc", "text_hash", "text", "starts")
             .mapInArrow(cut, "doc long, text_hash long, cut_words long, spans array<array<long>>, kept_text string, cut_sha256 string"))
     whole = F.col("copy") & (F.col("n_words") >= WINDOW)

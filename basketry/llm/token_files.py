@@ -19,7 +19,10 @@ no reader sees. Files are ascending, and so are the documents in them.
 
 Where the ids of a text are those of its pieces between ASCII white space
 (``by_words``; true of tokenizers that drop white space before they merge),
-each different piece is encoded once.
+each different piece is encoded once. If the vocabulary file also says that
+letters, digits and signs are merged apart, or that case is dropped, pieces end
+at common ASCII punctuation, or ASCII letters are lower-cased first: fewer
+pieces differ, and the ids are the same (tests compare whole texts).
 
 Edge cases. Null text is an empty one (the end id alone). A null doc_id comes
 last. Repeated rows and ids are kept; documents of one doc_id are ordered by a
@@ -30,6 +33,7 @@ length.
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import uuid
@@ -169,6 +173,19 @@ class FileReader:
         return np.concatenate([*self.parts(doc), np.zeros(0, f"<u{self.width}")]).astype(np.uint32)
 
 
+# the pattern of this tokenizer family: a fixed value
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_CUT = np.zeros(256, np.uint8)            # 1: letter or digit, 2: a sign that is in no contraction or special token
+_CUT[[*range(48, 58), *range(65, 91), *range(97, 123)]] = 1
+_CUT[list(b'!"(),-.:;?')] = 2
+
+
+def _parts(file: dict, kind: str) -> list[dict]:
+    """A normalizer or pre-tokenizer as a list of its steps."""
+    step = file.get(kind) or {}
+    return step.get("normalizers") or step.get("pretokenizers") or [step]
+
+
 class _Encoder:
     def __init__(self, path: str, by_words: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")       # tasks share the machine already
@@ -177,16 +194,37 @@ class _Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self.size = self._tokenizer.get_vocab_size(with_added_tokens=True)
         self._words = ChunkIds(lambda chunks: self._batch([c.decode() for c in chunks])) if by_words else None
+        with open(path, encoding="utf-8") as f:
+            file = json.load(f)
+        self._lower = any(n.get("type") == "Lowercase" for n in _parts(file, "normalizer"))
+        self._cut = any(p.get("type") == "Split" and p["pattern"].get("Regex") == WORD_PATTERN for p in _parts(file, "pre_tokenizer"))
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes, start and end of every piece, first piece of each text and the end)."""
+        if self._lower and b"<|" not in data.tobytes():               # a special token's case counts
+            # but for a letter that a combining mark may follow: composing comes first
+            upper = (data >= 65) & (data <= 90) & np.append(data[1:] < 128, True)
+            data = data + (upper.astype(np.uint8) << 5)
+        words = Words(data, offsets)
+        if not self._cut or not len(words.start):
+            return words.data, words.start, words.end, words.first
+        kind = _CUT[words.data]
+        # between a letter or digit and such a sign, both ASCII, within a word
+        inner = np.flatnonzero((kind[1:] != kind[:-1]) & (kind[1:] > 0) & (kind[:-1] > 0)) + 1
+        word = np.searchsorted(words.start, inner, "right") - 1
+        inner = inner[(word >= 0) & (inner > words.start[word]) & (inner < words.end[word])]
+        start, end = np.sort(np.concatenate((words.start, inner))), np.sort(np.concatenate((words.end, inner)))
+        return words.data, start, end, np.searchsorted(start, words.offsets)
+
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in a row, ids of each)."""
         if self._words:
-            words = Words(data, offsets - offsets[0])
-            ids, size = self._words.encode(words.data, words.start, words.end)
-            return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[words.first])
+            data, start, end, first = self._pieces(data, offsets - offsets[0])
+            ids, size = self._words.encode(data, start, end)
+            return ids, np.diff(np.concatenate(([0], np.cumsum(size)))[first])
         raw, at = data.tobytes(), (offsets - offsets[0]).tolist()
         found = self._batch([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)])
         return (np.concatenate([np.array(f, np.uint32) for f in found] or [np.zeros(0, np.uint32)]),

@@ -9,20 +9,28 @@ whether it allows or blocks. If a rule is given twice with both verdicts,
 ``block`` wins.
 
 The trie is built on the driver and broadcast only for up to
-``MAX_BROADCAST_RULES`` rules (some 100 MB). Longer lists stay distributed:
+``MAX_BROADCAST_RULES`` rules (flat arrays, under 100 MB in each Python
+worker). Longer lists stay distributed:
 every url joins the rules' (host, path length) pairs for each of its host
 suffixes, then the rules themselves by equality; the verdicts are the same.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased. Path: from there up to ``?``, ``#`` or the end. A null url or one
 without ``://`` has empty host and path, fits no rule and gets the default.
+Repeated rows are judged one by one; an empty table gives no rows; without rules
+every url gets the default. Columns other than the id and the url are not read
+(``allowed_pages`` keeps them, whatever their names).
 """
 
 from __future__ import annotations
 
+from array import array
+from bisect import bisect_left
 from collections.abc import Iterable
+from itertools import accumulate
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,49 +42,94 @@ DEFAULT = "allow"
 
 
 class UrlTrie:
-    """Reversed host labels, then path segments."""
+    """Reversed host labels, then path segments, in flat arrays: an edge is the
+    hash of its parent node and its label, kept sorted beside the child's
+    number; a rule's last segment is an edge to the rule. Hashes only steer the
+    walk: a rule that it ends at is compared with the url itself."""
 
     def __init__(self, rules: Iterable[tuple[str, str, str]]):
-        self.root: dict = {}
+        edges: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        texts, blocks, longest = [], bytearray(), array("i", [0])
+
+        def step(node: int, label: str) -> int:
+            key = self._edge(node, label)
+            if key not in edges:
+                edges[key] = len(longest)
+                longest.append(0)
+            return edges[key]
+
         for host, path, verdict in rules:
-            node = self.root
+            node = 0
             for label in reversed(host.split(".")):
-                node = node.setdefault("." + label, {})
+                node = step(node, "." + label)
             *whole, last = path.split("/")
-            node = node.setdefault("/", {})
+            node = step(node, "/")
             for segment in whole:
-                node = node.setdefault("/" + segment, {})
-            ends = node.setdefault("", {})
-            if ends.get(last, ("", ""))[1] != "block":
-                ends[last] = (host + path, verdict)
+                node = step(node, "/" + segment)
+            key = self._edge(node, "=" + last)
+            if key in ends:
+                blocks[ends[key]] |= verdict == "block"
+                continue
+            ends[key] = len(blocks)
+            blocks.append(verdict == "block")
+            texts.append((len(host), (host + path).encode()))
+            longest[node] = max(longest[node], len(last) + 1)
+        self._edges, self._children = self._sorted(edges)
+        self._ends, self._rules = self._sorted(ends)
+        self._longest, self._blocks = longest, bytes(blocks)         # longest: of a node's rule segments, plus one
+        self._hosts = array("i", [n for n, _ in texts])
+        self._text = b"".join(t for _, t in texts)
+        self._starts = array("q", accumulate((len(t) for _, t in texts), initial=0))
 
     @staticmethod
-    def _in_path(node: dict, segments: list[str]) -> tuple[str, str] | None:
-        best = None
-        for segment in segments:
-            ends = node.get("")
-            if ends:
-                fits = [p for p in ends if segment.startswith(p)] if len(ends) <= len(segment) else \
-                       [segment[:k] for k in range(len(segment) + 1) if segment[:k] in ends]
-                if fits:
-                    best = ends[max(fits, key=len)]
-            node = node.get("/" + segment)
-            if node is None:
-                break
-        return best
+    def _edge(node: int, label: str) -> int:
+        return xxhash.xxh3_64_intdigest(label.encode(), node)
+
+    @staticmethod
+    def _sorted(found: dict[int, int]) -> tuple[array, array]:
+        keys = sorted(found)
+        return array("Q", keys), array("i", [found[k] for k in keys])
+
+    def _step(self, node: int, label: str) -> int:
+        key = self._edge(node, label)
+        at = bisect_left(self._edges, key)
+        return self._children[at] if at < len(self._edges) and self._edges[at] == key else -1
+
+    def _fits(self, node: int, last: str, host: str, path: str) -> int:
+        """The node's rule with the longest segment that ``last`` starts
+        with; -1 if there is none."""
+        for n in range(min(len(last), self._longest[node] - 1), -1, -1):
+            key = self._edge(node, "=" + last[:n])
+            at = bisect_left(self._ends, key)
+            if at < len(self._ends) and self._ends[at] == key:
+                k = self._rules[at]
+                rule = self._text[self._starts[k]:self._starts[k + 1]].decode()
+                h, p = rule[:self._hosts[k]], rule[self._hosts[k]:]
+                if (host == h or host.endswith("." + h)) and path.startswith(p):
+                    return k
+        return -1
 
     def longest(self, host: str, path: str) -> tuple[str, str] | None:
         """(rule, verdict) of the longest rule that fits."""
-        best, node, segments = None, self.root, path.split("/")
+        best, node, segments = -1, 0, path.split("/")
         if not host:
             return None
         for label in reversed(host.split(".")):
-            node = node.get("." + label)
-            if node is None:
+            node = self._step(node, "." + label)
+            if node < 0:
                 break
-            if "/" in node:
-                best = self._in_path(node["/"], segments) or best
-        return best
+            at, found = self._step(node, "/"), -1
+            for segment in segments:
+                if at < 0:
+                    break
+                k = self._fits(at, segment, host, path)
+                found = k if k >= 0 else found
+                at = self._step(at, "/" + segment)
+            best = found if found >= 0 else best
+        if best < 0:
+            return None
+        return self._text[self._starts[best]:self._starts[best + 1]].decode(), "block" if self._blocks[best] else "allow"
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:

@@ -1,5 +1,7 @@
 """The deduplication operators against brute force on awkward rows."""
 
+import random
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -227,3 +229,45 @@ def test_tables_of_null_texts(spark):
     assert near.drop_near_copies(docs).count() == 4
     assert {r.n_removed for r in sub.substring_dedup(docs).collect()} == {0}
     assert {r.n_removed for r in suffix.suffix_dedup(docs).collect()} == {0}
+
+
+def test_no_link_of_small_sets_is_lost():
+    """Sets of four and five shingles at exactly 0.8, and of other small
+    sizes: each pair that is compared is counted exactly."""
+    rng = np.random.default_rng(3)
+    lost = 0
+    for n in (4, 8, 12, 20):
+        sets = np.sort(rng.integers(0, 2**64, (2500, n + n // 4), dtype=np.uint64), axis=1)
+        for x in sets:
+            y = np.sort(rng.permutation(x)[:n])
+            s = near.sketches(np.concatenate((x, y)), np.array([0, len(x), len(x) + n]))
+            lost += not near._linked(x.tobytes(), y.tobytes(), s[0].tobytes(), s[1].tobytes(), 80)
+    assert lost == 0
+
+
+def test_marks_let_all_wanted_rows_pass(spark, monkeypatch):
+    for bits, few in ((1 << 27, True), (1 << 5, False)):
+        monkeypatch.setattr(sub, "MARK_BITS", bits)
+        texts = spark.range(4000).selectExpr("id as doc", "xxhash64(id) as text_hash", "'x' as text")
+        wanted = texts.where("doc % 40 = 3").select("doc", "text_hash")
+        got = {r.doc for r in sub._marked(texts, wanted).collect()}
+        assert {i for i in range(4000) if i % 40 == 3} <= got
+        assert len(got) == 100 if few else len(got) > 100
+    assert sub._marked(texts, wanted.limit(0)).count() == 0
+
+
+def test_substring_dedup_with_a_third_of_the_ids_null(spark, monkeypatch):
+    """Anchors of rows without an id do not all meet in one row."""
+    rng = random.Random(6)
+    def prose(n):
+        return " ".join(f"w{rng.randrange(400)}" for _ in range(n))
+    shared = prose(30)
+    rows = [(None if k % 3 == 0 else k % 50, f"{prose(20)} {shared if k % 4 == 0 else prose(9)} {prose(15)}") for k in range(240)]
+    sizes = []
+    contexts = sub._contexts
+    def spy(texts):
+        sizes.append(texts.selectExpr("max(size(small) + size(large)) as n").first().n)
+        return contexts(texts)
+    monkeypatch.setattr(sub, "_contexts", spy)
+    compare(_sub(sub.substring_dedup(frame(spark, rows))), substring_dedup(rows))
+    assert sizes[0] < 60

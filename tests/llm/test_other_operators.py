@@ -26,7 +26,13 @@ ROWS = corpus(2)
 # decontamination
 
 def words_of(text):
-    return "".join(c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or c.isalnum() else " " for c in text or "").split(" ")
+    def unit(c):
+        if any(a <= ord(c) <= b for a, b in deco.UNSPACED):
+            return f" {c} "
+        if any(a <= ord(c) <= b for a, b in deco.PARTING):
+            return " "
+        return c.lower() if "A" <= c <= "Z" else c if ord(c) > 127 or c.isalnum() else " "
+    return "".join(map(unit, text or "")).split(" ")
 
 
 def brute_contaminated(rows, items):
@@ -35,9 +41,13 @@ def brute_contaminated(rows, items):
         w = [x for x in words_of(text) if x]
         for i, item in items:
             b = [x for x in words_of(item) if x]
-            if item is None or len(b) < 5:
+            if item is None or not b:
                 continue
-            size, most = (13, 2) if len(b) >= 13 else (len(b), 0)
+            if len(b) < 5:
+                if w == b:
+                    out.add((d, i))
+                continue
+            size, most = (13, 2) if len(b) >= 13 else (len(b), 1 if len(b) >= 8 else 0)
             if any(sum(x != y for x, y in zip(w[p:p + size], b[q:q + size], strict=True)) <= most
                    for p in range(len(w) - size + 1) for q in range(len(b) - size + 1)):
                 out.add((d, i))
@@ -50,6 +60,8 @@ def deco_tables(seed=4):
     def prose(n):
         return [rng.choice(vocabulary) for _ in range(n)]
     items = [(k, " ".join(prose(n))) for k, n in enumerate([40, 25, 13, 14, 12, 6, 5, 4, 1, 30])]
+    chinese = "".join(chr(0x4E00 + rng.randrange(3000)) for _ in range(60))
+    items += [(30, chinese), (31, " ".join(prose(8))), (32, " ".join(prose(9))), (33, "สวัสดีครับทุกคน"), (34, "two words"), (35, "日本")]
     items += [(20, None), (21, ""), (22, items[0][1]), (0, items[0][1])]
     rows = []
     for k in range(120):
@@ -60,6 +72,11 @@ def deco_tables(seed=4):
             part[rng.randrange(len(part))] = "other"
         joint = rng.choice([" ", "\n", "*** ", ", "])
         rows.append((k, " ".join(prose(rng.randint(0, 20))) + " " + joint.join(part).upper() + " " + " ".join(prose(rng.randint(0, 20)))))
+    twelve = items[4][1].split(" ")
+    rows += [(300, chinese), (301, f"前{chinese}後"), (302, chinese[:20] + "變" + chinese[21:40] + "，" + chinese[40:]), (303, items[7][1]), (304, f"x {items[7][1]}"),
+             (305, " ".join([*prose(3), *twelve[:5], "changed", *twelve[6:], "end"])), (306, " ".join(["a", *twelve[1:11], "b"])),
+             (307, items[11][1].replace(" ", "\u2003", 3).upper()), (308, items[12][1].replace(" ", "\u3001")), (309, "“Two—words”"), (310, "สวัสดีครับทุกคน"), (311, "日本"),
+             (312, "日本語")]
     return rows + [(200, None), (201, ""), (202, "word"), (203, " ".join(prose(4000))), rows[0], (None, items[0][1])], items
 
 
@@ -70,7 +87,7 @@ def test_contaminated(spark, most):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = deco.contaminated(frame(spark, rows), bench, most).collect()
     compare([(r.doc_id, r.item_id) for r in got], brute_contaminated(rows, items))
-    assert all(r.windows >= 1 and r.first_word >= 0 and r.matching_words >= 5 for r in got)
+    assert all(r.windows >= 1 and r.first_word >= 0 and r.matching_words >= 1 for r in got)
 
 
 def test_both_ways_find_the_same(spark):
@@ -79,6 +96,20 @@ def test_both_ways_find_the_same(spark):
     compare([tuple(r) for r in deco.contaminated(docs, bench, 0).collect()], [tuple(r) for r in deco.contaminated(docs, bench).collect()])
 
 
+def test_short_and_unspaced_items_are_found(spark):
+    rows, items = deco_tables()
+    found = {(r.doc_id, r.item_id) for r in deco.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {(300, 30), (301, 30), (302, 30), (303, 7), (305, 4), (307, 31), (308, 32), (309, 34), (310, 33), (311, 35)} <= found
+    assert not {(304, 7), (306, 4), (312, 35)} & found
+
+
+@pytest.mark.parametrize("n", range(8, 13))
+def test_half_masks_are_lossless(n):
+    """One differing place leaves a placement of the mask."""
+    p = deco.whole(n)
+    assert all(any(k not in range(s, s + p.span) for s in range(p.reach + 1)) for k in range(n))
+
+
 def test_drop_contaminated(spark):
     rows, items = deco_tables()
     docs = clashing(frame(spark, rows))
@@ -408,3 +439,29 @@ def test_fourier_features_approximate_the_kernel():
     f = m.features(x)[:, :-1]
     kernel = np.exp(-quality.BANDWIDTH * ((x[:, None] - x[None]) ** 2).sum(-1))
     assert np.abs(f @ f.T - kernel).max() < 0.06
+
+
+def test_rounding_that_exceeds_a_demand():
+    """Two patterns of one count, of which a single repetition is too many."""
+    patterns = np.array([[2, 1, 0, 0], [0, 0, 0, 1], [0, 2, 0, 0]])
+    demand = np.array([9, 8, 0, 5])
+    plan = packing._whole(np.array([5, 5, 2]), patterns, demand)
+    assert (sum((n * p for n, p in plan), np.zeros(4, int)) == demand).all()
+    assert (4, [2, 1, 0, 0]) in [(n, p.tolist()) for n, p in plan]           # reduced by one, not dropped
+
+
+def test_a_large_trie_is_small(spark):
+    """500,000 rules in one process, and as they are sent."""
+    import pickle
+    import tracemalloc
+    rules = [(f"h{k % 90_000}.example{k % 7}.org", f"/a{k % 11}/b{k}", ("allow", "block")[k % 2]) for k in range(500_000)]
+    sent = pickle.dumps(urls.UrlTrie(rules))
+    tracemalloc.start()
+    trie = pickle.loads(sent)
+    size, _ = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert size < 100e6 and len(sent) < 100e6
+    for k in (0, 77, 499_999):
+        host, path, verdict = rules[k]
+        assert trie.longest("www." + host, path + "/x") == (host + path, verdict)
+        assert trie.longest(host + ".net", path) is None
