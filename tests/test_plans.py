@@ -45,7 +45,8 @@ def test_ranking_labels_rows_in_place(spark, name):
     plan = plan_of(spark, name)
     assert "Subquery" in plan and "Scan ExistingRDD" not in plan
     for step in ("rangepartitioning", "ntile", "Window", "percentile"):
-        assert step not in plan or name == "revenue_concentration" and step in ("rangepartitioning", "Window"), step
+        found = re.search(rf"\b{step}\b", plan)
+        assert not found or name == "revenue_concentration" and step in ("rangepartitioning", "Window"), step
 
 
 @pytest.mark.parametrize("name", ["revenue_concentration", "rfm_summary", "rfm_summary_inverted", "rfm_segments", "revenue_distribution"])
@@ -69,11 +70,7 @@ def test_the_passes_read_one_exchange(spark, plain):
     from basketry.plans.registry import run_entry
     df = run_entry("rfm_summary", plain)
     df.collect()
-    done = df._jdf.queryExecution().executedPlan()
-    df2 = df._jdf.queryExecution()
-    df2.toRdd().count()
-    final = df2.executedPlan().toString()
-    assert done is not None and "ReusedExchange" in final
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()
 
 
 @pytest.mark.parametrize("name", ["funnel", "device_conversion", "traffic_conversion",
