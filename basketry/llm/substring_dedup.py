@@ -377,8 +377,8 @@ def repeated_windows(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     hits = (dealt.join(shared, "anchor").groupBy(F.col("doc").alias("_row"))
             .agg(F.collect_set(F.when(~F.col("many"), F.col("anchor"))).alias("small"),
                  F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("large")))
-    texts = saved(_keyed(docs).withColumn("_row", _row_key(F.col("doc"), F.col("text_hash"))).join(hits, "_row").drop("_row")
-                  .dropDuplicates(["doc", "text_hash"]), "passage-texts")
+    texts = saved(_keyed(docs).withColumn("_row", _row_key(F.col("doc"), F.col("text_hash"))).join(hits, "_row")
+                  .dropDuplicates(["_row", "doc", "text_hash"]).drop("_row"), "passage-texts")      # in the join's partitions
     contexts = saved(_contexts(texts), "passage-contexts")
     one = ["key", "context"]
     distinct = saved(contexts.groupBy(*one).agg(F.min(F.struct("doc", "text_hash", "start", "size")).alias("at")), "passage-distinct")
