@@ -62,8 +62,8 @@ def main() -> None:
     print("# PLANS\n")
     print("Physical-plan skeletons of every registered query (initial adaptive plan, "
           f"top-down; fixture input `{sf}`, generated by `tests/plan_report.py`). "
-          "`Scan ExistingRDD` is the checkpointed input of the exact ranking operators; "
-          "its rows are labelled in place, and the lookup of the cut points ran before. "
+          "The exact ranking operators label rows in place; their cut points are scalar "
+          "subqueries of the plan, whose passes read the same exchanges when it runs. "
           "Dimension sides show as broadcasts only because "
           "Spark's size check admits them at this scale; larger dimensions plan as "
           "sort-merge joins.\n")
