@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,17 +14,38 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.session import ensure_checkpoint_dir
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _shuffles_end_with_their_query(spark: SparkSession) -> Iterator[None]:
+    """Queries run inside remove their shuffle files when they end; without it
+    the files stay on the executors' disks until the driver's JVM happens to
+    collect the plan."""
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet below ``spark.checkpoint.dir`` and read it back.
 
     The lineage is cut there: later stages re-read files that every executor
     sees. Unlike ``checkpoint()`` the copy is columnar, so that later passes
     read only the columns they need. The files stay until the checkpoint
-    folder is cleared, as the frames read from them are lazy.
+    folder is cleared, as the frames read from them are lazy; the shuffle files
+    of the write itself go when it ends, as nothing reads them any more.
     """
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _shuffles_end_with_their_query(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
