@@ -49,6 +49,7 @@ GRAM = 5
 MAX_SHARD = 2000
 MAX_BROADCAST_COPIES = 1_000_000
 MARK_BITS = 1 << 27          # 16 MB
+BLOCK = 1 << 18              # bytes of text worked on at once: a word of it may stand in many windows
 _NO_ID = (1 << 63) - 1
 _REACH = WINDOW - GRAM
 
@@ -170,7 +171,7 @@ def _anchor_rows(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(1))
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, BLOCK):
                 w = Words(raw, offsets[lo:hi + 1])
                 _, best, by_word = anchors(w, w.hashes())
                 at = best[np.concatenate(([True], best[1:] != best[:-1]))] if len(best) else best
@@ -215,7 +216,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             raw, offsets = text_buffer(b.column(2))
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, BLOCK):
                 w = Words(raw, offsets[lo:hi + 1])
                 hashes = w.hashes()
                 starts, best, by_word = anchors(w, hashes)
@@ -261,9 +262,9 @@ def _words_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            keys, contexts, owners, words = [], [], [], []
             raw, offsets = text_buffer(b.column(1))
-            for lo, hi in blocks(offsets):
+            for lo, hi in blocks(offsets, BLOCK):
+                keys, contexts, owners, words = [], [], [], []
                 w = Words(raw, offsets[lo:hi + 1])
                 packed = np.ascontiguousarray(w.hashes().view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
                 for i in range(hi - lo):
@@ -274,9 +275,9 @@ def _words_of(texts: DataFrame, open_: DataFrame) -> DataFrame:
                         contexts.append(c["context"])
                         owners.append(owner)
                         words.append(packed[6 * at:6 * (at + c["size"])])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(owners, pa.int64()), pa.array(words, pa.binary())],
-                ["key", "context", "owner", "words"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys, pa.int64()), pa.array(contexts, pa.int64()), pa.array(owners, pa.int64()), pa.array(words, pa.binary())],
+                    ["key", "context", "owner", "words"])
 
     wanted = open_.groupBy("doc", "text_hash").agg(F.collect_list(F.struct("key", "context", "start", "size")).alias("wanted"))
     return (_marked(texts.select("doc", "text_hash", "text"), open_).join(wanted, ["doc", "text_hash"]).select("doc", "text", "wanted")
@@ -411,26 +412,28 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         for b in batches:
-            removed, spans, kept, sums = [], [], [], []
-            for text, starts in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-                w = Words(*text_buffer(pa.array([text or ""])))
-                mark = np.zeros(len(w.start) + 1, int)
-                starts = np.unique(starts)
-                np.add.at(mark, starts, 1)
-                np.add.at(mark, starts + WINDOW, -1)
-                out = np.concatenate(([False], np.cumsum(mark)[:-1] > 0, [False]))
-                edges = np.flatnonzero(out[1:] != out[:-1])
-                spans.append(edges.reshape(-1, 2).tolist())
-                keep = np.flatnonzero(~out[1:-1])
+            raw, offsets = text_buffer(b.column(2))
+            for lo, hi in blocks(offsets, BLOCK):
+                removed, spans, kept, sums = [], [], [], []
+                w = Words(raw, offsets[lo:hi + 1])
                 data = w.data.tobytes()
-                body = b" ".join([data[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
-                removed.append(len(w.start) - len(keep))
-                kept.append(body.decode())
-                sums.append(hashlib.sha256(body).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
-                 pa.array(kept, pa.string()), pa.array(sums, pa.string())],
-                ["doc", "text_hash", "cut_words", "spans", "kept_text", "cut_sha256"])
+                for i, (x, y) in enumerate(zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)):
+                    starts = np.unique(b.column(3)[lo + i].values.to_numpy(zero_copy_only=False))
+                    mark = np.zeros(y - x + 1, int)
+                    np.add.at(mark, starts, 1)
+                    np.add.at(mark, starts + WINDOW, -1)
+                    out = np.concatenate(([False], np.cumsum(mark)[:-1] > 0, [False]))
+                    edges = np.flatnonzero(out[1:] != out[:-1])
+                    spans.append(edges.reshape(-1, 2).tolist())
+                    keep = x + np.flatnonzero(~out[1:-1])
+                    body = b" ".join([data[s:e] for s, e in zip(w.start[keep].tolist(), w.end[keep].tolist(), strict=True)])
+                    removed.append(y - x - len(keep))
+                    kept.append(body.decode())
+                    sums.append(hashlib.sha256(body).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0)[lo:hi], b.column(1)[lo:hi], pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))),
+                     pa.array(kept, pa.string()), pa.array(sums, pa.string())],
+                    ["doc", "text_hash", "cut_words", "spans", "kept_text", "cut_sha256"])
 
     cuts = (_marked(texts.select("doc", "text_hash", "text"), gone).join(gone, ["doc", "text_hash"])
             .select("doc", "text_hash", "text", "starts")
